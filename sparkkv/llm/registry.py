@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkv.llm import sharding
+from sparkkv.llm import chat, mixing, sharding
 
-MODULES = [sharding]
+MODULES = [mixing, chat, sharding]
 
 
 def queries() -> dict:
