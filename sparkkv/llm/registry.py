@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkv.llm import chat, mixing, sharding
+from sparkkv.llm import chat, langid, licenses, media, mixing, sharding, tokencount
 
-MODULES = [mixing, chat, sharding]
+MODULES = [mixing, licenses, chat, tokencount, langid, media, sharding]
 
 
 def queries() -> dict:
