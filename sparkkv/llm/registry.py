@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkv.llm import chat, langid, licenses, media, mixing, sharding, tokencount
+from sparkkv.llm import chat, langid, licenses, media, mixing, packing, sharding, tokencount
 
-MODULES = [mixing, licenses, chat, tokencount, langid, media, sharding]
+MODULES = [mixing, licenses, chat, tokencount, langid, packing, media, sharding]
 
 
 def queries() -> dict:
