@@ -1,15 +1,66 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the runner may write it as Parquet and read it again as the next
+stage's ``docs``. All but the last return the columns of documents.
+
+1. language: documents without a language (``und``: null text or no letter) go; labels are learned from the stage's own input.
+2. near_duplicates: of each component of near-equal texts the document with the smallest id stays; of rows with that id one.
+3. mixture: sources at temperature weights. The budget is the least that passes every source at least once, so no document is lost; rare
+   sources repeat, at most ``REPEATS`` times.
+4. packing: pieces of at most 2048 tokens in as few sequences as possible.
+
+Defined results: null ids are kept by stage 2 (nothing links them); an empty input gives an empty output with the same columns.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sparkkv.llm import jaccard, langid, mixing, packing
+
+REPEATS = 2.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known (operator 6)."""
+    fitted = langid.fit(docs.where(langid.trainable(F.col("doc_id"))))
+    return langid.predict(docs, fitted).where(F.col("lang_pred") != langid.UND).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component (operator 5)."""
+    dropped = jaccard.near_components(docs).where("doc_id != component_id").select("doc_id").distinct()
+    dropped = jaccard.saved(dropped, "dropped")
+    kept = jaccard.among(docs, dropped, "left_anti").select(*docs.columns)
+    # Repeated rows of a kept id: only ids that occur more than once are looked at, and rows aren't moved for the others.
+    again = jaccard.saved(kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = jaccard.among(kept, again, "left_semi").select(*docs.columns).withColumn("_n", first).where("_n = 1").drop("_n")
+    return jaccard.among(kept, again, "left_anti").select(*docs.columns).union(one)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture has them (operator 1)."""
+    return mixing.mixed_documents(docs, budget=None, repetition_limit=REPEATS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and offset (operator 7)."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", pack)]
 
-STAGES: list = []
+#: Neither a learned model nor a tokenizer can be written in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = jaccard.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkkv.llm import chat, jaccard, langid, licenses, media, mixing, packing, sharding, tokencount
+from sparkkv.llm import chat, jaccard, langid, licenses, media, mixing, neighbours, packing, sharding, tokencount
 
-MODULES = [mixing, licenses, chat, tokencount, jaccard, langid, packing, media, sharding]
+MODULES = [mixing, licenses, chat, tokencount, jaccard, langid, packing, neighbours, media, sharding]
 
 
 def queries() -> dict:
