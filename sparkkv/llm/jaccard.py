@@ -100,12 +100,13 @@ def digests(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     block = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(0, np.uint32), [], 0
+        counts, held, size = np.zeros(0, np.uint8), [], 0
 
         def fold() -> np.ndarray:
-            slots = np.concatenate(held)
-            new = np.bincount(slots, minlength=1 << bits).astype(np.uint32)
-            return new if not len(counts) else counts + new
+            slots, new = np.unique(np.concatenate(held), return_counts=True)
+            total = counts if len(counts) else np.zeros(1 << bits, np.uint8)
+            total[slots] = np.minimum(total[slots] + new, 255)  # a task's count stops at 255
+            return total
 
         names = ["doc_id", "n", "low", "high", "slot", "counts"]
         for batch in batches:
@@ -115,14 +116,14 @@ def digests(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                 with np.errstate(over="ignore"):
                     low = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                     high = np.array([(_mix(s * _M)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                held.append((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64))
+                held.append((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.uint32))
                 size += len(held[-1])
-                if size > 1 << 22:
+                if size > 1 << 20:
                     counts, held, size = fold(), [], 0
                 ids = batch.column(0).slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), _long(low), _long(high), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names)
         if held or len(counts):
-            counts = np.minimum(fold() if held else counts, 255).astype(np.uint8)
+            counts = fold() if held else counts
             for i in range(0, len(counts), block):
                 part = counts[i : i + block]
                 if part.any():
