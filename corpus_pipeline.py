@@ -22,24 +22,37 @@ from sparkkv.llm import jaccard, langid, mixing, packing
 REPEATS = 2.0
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known (operator 6)."""
     fitted = langid.fit(docs.where(langid.trainable(F.col("doc_id"))))
-    return langid.predict(docs, fitted).where(F.col("lang_pred") != langid.UND).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = tuple(_free(docs, x) for x in ("lang_pred", "score"))
+    return langid.predict(docs, fitted, names=names).where(F.col(names[0]) != langid.UND).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component (operator 5)."""
     dropped = jaccard.near_components(docs).where("doc_id != component_id").select("doc_id").distinct()
     dropped = jaccard.saved(dropped, "dropped")
-    kept = jaccard.among(docs, dropped, "left_anti").select(*docs.columns)
+    kept = jaccard.among(docs, dropped, "left_anti").select(*_columns(docs))
     # Repeated rows of a kept id: only ids that occur more than once are looked at, and rows aren't moved for the others.
     again = jaccard.saved(kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not again.limit(1).count():
         return kept
+    place = _free(docs, "place")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = jaccard.among(kept, again, "left_semi").select(*docs.columns).withColumn("_n", first).where("_n = 1").drop("_n")
-    return jaccard.among(kept, again, "left_anti").select(*docs.columns).union(one)
+    one = jaccard.among(kept, again, "left_semi").select(*_columns(docs)).withColumn(place, first).where(F.col(place) == 1).drop(place)
+    return jaccard.among(kept, again, "left_anti").select(*_columns(docs)).union(one)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = way[:, 2] + r // way[:, 3], way[:, 4] + r % way[:, 3] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:rank], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:rank], "sequence_id", "offset"])
 
-    out = pieces.limit(0).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    out = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     return ranked.mapInArrow(run, out)
 
 

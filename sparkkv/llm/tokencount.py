@@ -48,7 +48,7 @@ class Viterbi:
     def count(self, word: str) -> tuple[int, float]:
         n = len(word)
         ends: list[list] = [[] for _ in range(n + 1)]
-        for end, (size, score) in self.automaton.iter(word):
+        for end, (size, score) in self.automaton.iter(word) if len(self.automaton) else ():
             ends[end + 1].append((size, score))
         best, pieces, fused = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         for j in range(1, n + 1):
