@@ -67,3 +67,13 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     return out.withColumns({o: F.col(f"_i_{o}") + F.col(f"_b_{o}") for o in sums}).drop(
         *[f"_i_{o}" for o in sums], *[f"_b_{o}" for o in sums]
     )
+
+
+#: DuckDB table (tab) of CRC-32's 256 steps, built from the rule.
+CRC32_TABLE = "crc32_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+
+
+def crc32_sql(hexadecimal: str) -> str:
+    """DuckDB expression for the CRC-32 of the bytes that the expression ``hexadecimal`` spells; needs CRC32_TABLE's tab."""
+    values = f"list_transform(regexp_extract_all({hexadecimal}, '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"

@@ -11,8 +11,8 @@ bytes by table look-ups in numpy (every byte outside ASCII is a word byte), so m
 anchor word, are never split into Python strings. Rows are independent: no shuffle, constant broadcast (the templates).
 
 Defined results: a null text counts as empty: no words, no labels, score 0; equal rows give equal results; an
-empty table gives an empty result; only doc_id and text are read. ``score`` is the share of a text's words that lie in
-matches (places of base phrases or accepted template runs).
+empty table gives an empty result; only doc_id and text are read. ``score`` is 1 if a template accepts a run of the text, 0.5
+if it only holds a base phrase, else 0; ``covered`` is the share of its words that lie in matches.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ class Automaton:
 _IS_WORD = np.zeros(256, np.int8)
 _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long>>"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, covered double, spans array<struct<label:string,first:long,last:long>>"
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
@@ -169,7 +169,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         flags = np.diff(_IS_WORD[np.frombuffer(data, np.uint8)], prepend=np.int8(0))
         n = int((flags == 1).sum())
         if not any(a in data for a in anchors):
-            return n, 0, None, None, "", "", 0.0, []
+            return n, 0, None, None, "", "", 0.0, 0.0, []
         words = _WORD.findall(data)
         at: dict[bytes, list[int]] = {}
         wanted = {p[0] for p, _ in base} | {a.anchor for _, a in automata}
@@ -187,7 +187,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         base_labels = {x[0] for x in places}
         return (
             n, len(places), min(starts, default=None), max(starts, default=None),
-            ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {x[0] for x in runs})), share,
+            ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {x[0] for x in runs})), 1.0 if runs else 0.5 if places else 0.0, share,
             [{"label": a, "first": s, "last": e} for a, s, e in sorted([*places, *runs], key=lambda x: (x[1], x[2], x[0]))],
         )
 
@@ -198,7 +198,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         # An anchor word that holds another needs no search of its own.
         anchors = [a for a in anchors if not any(b != a and b in a for b in anchors)]
         spans = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), spans]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), spans]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             if batch.num_rows:
@@ -210,8 +210,40 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
 def op2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' license phrases and templates."""
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("covered", "spans")
+
+
+def _expression(template: str) -> str:
+    """The template as a regular expression over words that are each followed by a space."""
+    out, pos = "", 0
+    for m in [*_MARK.finditer(template), None]:
+        out += "".join(w.decode() + " " for w in words_of(template[pos : m.start() if m else None]))
+        if m:
+            pos = m.end()
+            kind, match = m[1], m[2] or ".+"
+            span = {".+": f"1,{MOST}", ".*": f"0,{MOST}"}.get(match, match[2:-1] if match.startswith(".{") else None)
+            options = "|".join("".join(w.decode() + " " for w in words_of(o)) for o in match.split("|"))
+            out += "(?:" if kind == "beginOptional" else ")?" if kind == "endOptional" else f"(?:[^ ]+ ){{{span}}}" if span else f"(?:{options})"
+    return out
+
+
+def _oracle() -> str:
+    any_of = lambda pairs: "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{label}' END" for label, test in pairs) + "], lambda x: x IS NOT NULL)"
+    base = [(label, f"contains(s, ' {p} ')") for p, label in PHRASES.items()]
+    method = [(label, f"regexp_matches(s, ' {_expression(t)}')") for label, t in TEMPLATES]
+    at = " OR ".join("(" + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p in PHRASES)
+    return f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s, CASE WHEN list_contains(w, 'license') THEN list_filter(range(1, len(w) + 1), lambda i: {at}) ELSE [] END AS places FROM w
+), l AS (
+  SELECT *, {any_of(base)} AS base, CASE WHEN contains(s, ' license ') OR contains(s, ' redistribution ') OR contains(s, ' permission ') THEN {any_of(method)} ELSE [] END AS method FROM s
+)
+SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, method))), ',') AS labels, CASE WHEN len(method) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5 ELSE 0 END AS score FROM l
+"""
 
 
 QUERIES = {"op2_templates": op2_templates}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_templates": _oracle()}

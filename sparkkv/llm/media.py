@@ -1,8 +1,8 @@
 """Operator 9, media columns: Netpbm and BMP decoded to numpy arrays, resized, and written as NPY tiles.
 
 ``decode_image`` reads PBM, PGM and PPM (plain and raw, 8 bits a sample) and uncompressed BMP (8, 24 and 32 bits a pixel);
-``area_resize`` averages exact areas by an integral image that is evaluated at the cut rows only, so its
-memory doesn't grow with the image; ``npy_tiles`` cuts an array into tiles and writes each as an NPY file;
+``area_resize`` averages exact areas by an integral image that is evaluated at the cells' edges only, so it
+takes little memory beside the image; ``npy_tiles`` cuts an array into tiles and writes each as an NPY file;
 ``difference_hash`` compares neighbours of a 9 x 8 reduction. ``media_tiles`` applies them to a binary column in Arrow
 batches, with rows as the unit of work: no shuffle, and a lost task is simply run again.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import table
+from sparkkv.llm.common import CRC32_TABLE, crc32_sql, table
 
 WIDTH = 64
 TILE_ROWS = 4096
@@ -93,36 +93,35 @@ def image_format(data: bytes) -> str:
     return {"1": "pbm", "4": "pbm", "2": "pgm", "5": "pgm", "3": "ppm", "6": "ppm"}[chr(data[1])] if data[:1] == b"P" else "bmp"
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the exact area under each output cell (float64)."""
+def area_sums(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Sums of the samples under each output cell, exact (int64): parts of a sample count in ``1 / (height * width)``.
+
+    The integral image is evaluated at the cells' edges only, first along the rows and then along the columns; between two samples
+    it is linear.
+    """
+
+    def along(x: np.ndarray, cells: int) -> np.ndarray:
+        n = len(x)
+        low, part = np.divmod(np.arange(cells + 1, dtype=np.int64) * n, cells)
+        cuts = np.unique(np.r_[low, np.minimum(low + 1, n)])
+        sums = np.add.reduceat(x, cuts[:-1], axis=0, dtype=np.int64)
+        total = np.concatenate([np.zeros((1, *x.shape[1:]), np.int64), np.cumsum(sums, axis=0)])
+        at, after = total[np.searchsorted(cuts, low)], total[np.searchsorted(cuts, np.minimum(low + 1, n))]
+        return np.diff(at * cells + (after - at) * part.reshape(-1, *[1] * (x.ndim - 1)), axis=0)
 
-    def edges(n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(cells + 1) * n / cells
-        low = np.minimum(np.floor(at).astype(np.int64), n)
-        return low, at - low
+    return np.swapaxes(along(np.swapaxes(along(image, height), 0, 1), width), 0, 1)
 
-    def integral(x: np.ndarray, cells: int) -> np.ndarray:
-        """Integral along axis 0 at the cells' edges; between rows it is linear."""
-        low, part = edges(len(x), cells)
-        cuts = np.unique(np.r_[low, np.minimum(low + 1, len(x))])
-        sums = np.add.reduceat(x, cuts[:-1], axis=0, dtype=np.float64) if len(cuts) > 1 else x[:0].astype(np.float64)
-        total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(sums, axis=0)])
-        at = total[np.searchsorted(cuts, low)]
-        nxt = total[np.searchsorted(cuts, np.minimum(low + 1, len(x)))]
-        part = part.reshape(-1, *[1] * (x.ndim - 1))
-        return np.diff(at * (1 - part) + nxt * part, axis=0)
 
-    rows = integral(image, height)
-    cells = np.swapaxes(integral(np.swapaxes(rows, 0, 1), width), 0, 1)
-    return cells * (height * width) / (image.shape[0] * image.shape[1])
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the exact area under each output cell (float64)."""
+    return area_sums(image, height, width) / (image.shape[0] * image.shape[1])
 
 
 def difference_hash(image: np.ndarray) -> str:
-    """64 bits, hexadecimal: whether a cell of the 8 x 9 reduction is brighter than its right neighbour."""
-    grey = image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
-    # Averages are compared in thousandths, so that rounding errors have no say.
-    small = np.round(area_resize(grey, 8, 9) * 1000)
-    return f"{int.from_bytes(np.packbits(small[:, :-1] > small[:, 1:]).tobytes(), 'big'):016x}"
+    """64 bits, hexadecimal: whether a cell of the 8 x 9 reduction is brighter than its right neighbour (in exact integers)."""
+    grey = image if image.ndim == 2 else image.astype(np.int64) @ np.array([299, 587, 114])
+    cells = area_sums(grey, 8, 9)
+    return f"{int.from_bytes(np.packbits(cells[:, :-1] > cells[:, 1:]).tobytes(), 'big'):016x}"
 
 
 def npy_tiles(image: np.ndarray, rows: int = TILE_ROWS, columns: int | None = None) -> list[tuple[int, int, bytes]]:
@@ -196,5 +195,32 @@ def op9_npy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(table(spark, sf_dir, "documents"))
 
 
+_ORACLE = f"""
+WITH {CRC32_TABLE}, t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT doc_id, length(h) // 2 AS n_bytes, greatest(1, (length(h) // 2 + {WIDTH - 1}) // {WIDTH}) AS n_rows,
+    rpad(h, (greatest(1, (length(h) // 2 + {WIDTH - 1}) // {WIDTH}) * {2 * WIDTH})::INT, '0') AS payload FROM t
+), tiles AS (
+  SELECT doc_id, string_agg('934E554D50590100' || '7600' || hex(encode(rpad('{{''descr'': ''|u1'', ''fortran_order'': False, ''shape'': (' || least({TILE_ROWS}, n_rows - k * {TILE_ROWS}) || ', {WIDTH}), }}', 117, ' '))) || '0A'
+    || substr(payload, k * {TILE_ROWS * 2 * WIDTH} + 1, {TILE_ROWS * 2 * WIDTH}), '' ORDER BY k) AS media
+  FROM (SELECT *, unnest(range(0, (n_rows + {TILE_ROWS - 1}) // {TILE_ROWS})) AS k FROM p) GROUP BY doc_id, n_rows
+), samples AS (
+  SELECT doc_id, n_rows, i // {WIDTH} AS y, i % {WIDTH} AS x, v FROM (
+    SELECT doc_id, n_rows, unnest(range(0, n_rows * {WIDTH})) AS i, unnest(list_transform(regexp_extract_all(payload, '..'), lambda s: ('0x' || s)::BIGINT)) AS v FROM p)
+), bands AS (
+  SELECT doc_id, c, n_rows, y, sum(v * (least({WIDTH} * (c + 1), 9 * x + 9) - greatest({WIDTH} * c, 9 * x))) AS v
+  FROM samples, (SELECT unnest(range(0, 9)) AS c) WHERE {WIDTH} * (c + 1) > 9 * x AND {WIDTH} * c < 9 * x + 9 GROUP BY ALL
+), cells AS (
+  SELECT doc_id, r, c, sum(v * (least(n_rows * (r + 1), 8 * y + 8) - greatest(n_rows * r, 8 * y))) AS v
+  FROM bands, (SELECT unnest(range(0, 8)) AS r) WHERE n_rows * (r + 1) > 8 * y AND n_rows * r < 8 * y + 8 GROUP BY ALL
+), bytes AS (
+  SELECT a.doc_id, a.r, sum(CASE WHEN a.v > b.v THEN 1 << (7 - a.c)::INT ELSE 0 END)::INT AS byte FROM cells a JOIN cells b ON a.doc_id = b.doc_id AND a.r = b.r AND b.c = a.c + 1 GROUP BY ALL
+), features AS (SELECT doc_id, string_agg(printf('%02x', byte), '' ORDER BY r) AS feature FROM bytes GROUP BY 1)
+SELECT p.doc_id, n_bytes::BIGINT AS n_bytes, (n_rows * {WIDTH})::BIGINT AS payload_bytes, sha256(unhex(payload)) AS payload_sha256,
+  {crc32_sql(f"right(payload, {2 * WIDTH})")} AS tail_crc32, (length(media) // 2)::BIGINT AS media_bytes, sha256(unhex(media)) AS media_sha256, feature
+FROM p JOIN tiles USING (doc_id) JOIN features USING (doc_id), crc32_table
+"""
+
 QUERIES = {"op9_npy": op9_npy}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_npy": _ORACLE}

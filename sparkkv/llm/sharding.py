@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import bucket_of, prefix_sums, root_buckets, saved, table
+from sparkkv.llm.common import CRC32_TABLE, bucket_of, crc32_sql, prefix_sums, root_buckets, saved, table
 
 SHARDS = 24
 SEED = "interleave-1"
@@ -69,5 +69,20 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ORACLE = f"""
+WITH {CRC32_TABLE}, t AS (
+  SELECT doc_id, source, strlen(coalesce(text, ''))::BIGINT + 8 AS size, {crc32_sql("hex(encode(coalesce(text, '')))")} AS text_crc32 FROM documents, crc32_table
+), m AS (
+  SELECT *, coalesce('=' || source, 'null') AS stratum, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32) AS mix FROM t
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY mix, doc_id NULLS FIRST, size, text_crc32) - 1
+    + ('0x' || substr(md5('{SEED}/phase:' || stratum), 1, 7))::BIGINT / {float(1 << 28)}) / count(*) OVER (PARTITION BY stratum) AS fraction FROM m
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, stratum, mix, doc_id NULLS FIRST, size, text_crc32) - 1 AS place, count(*) OVER () AS n FROM r
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * {SHARDS} // n)::INT AS shard,
+  (place - ((place * {SHARDS} // n) * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, source FROM p
+"""
+
 QUERIES = {"op10_interleave": op10_interleave}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_interleave": _ORACLE}
