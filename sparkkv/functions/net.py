@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _QUAD = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 
@@ -39,3 +43,23 @@ def address(s: Column) -> Column:
         .when(four != "", F.struct(four.alias("host"), port.alias("port"), F.lit("v4").alias("family")))
         .when(bare, F.struct(F.lit("0.0.0.0").alias("host"), port.alias("port"), F.lit("v4").alias("family")))
     )
+
+
+@F.pandas_udf(T.StringType())
+def ipv6_kind(s: pd.Series) -> pd.Series:
+    """any, loopback, multicast, linklocal, mapped (an IPv4 address), compatible or other; null for what isn't an IPv6 address."""
+
+    def one(x):
+        try:
+            a = ipaddress.IPv6Address(x)
+        except (ValueError, TypeError):
+            return None
+        kinds = (("any", a == ipaddress.IPv6Address(0)), ("loopback", a.is_loopback), ("multicast", a.is_multicast), ("linklocal", a.is_link_local), ("mapped", a.ipv4_mapped is not None), ("compatible", int(a) >> 32 == 0))
+        return next((k for k, yes in kinds if yes), "other")
+
+    return s.map(one)
+
+
+def same_address(a: Column, b: Column) -> Column:
+    """Equality of two structs of ``address``."""
+    return (F.lower(a["host"]) == F.lower(b["host"])) & (a["port"] == b["port"])

@@ -54,28 +54,40 @@ def remove(kv: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return kv.join(keys.select(key), key, "left_anti")
 
 
-def fold(log: DataFrame) -> DataFrame:
+def fold(log: DataFrame, span: int | None = None) -> DataFrame:
     """Current state of a log (sid, k, op, v[, ts]): last set or del by sid, plus the increments after it.
 
-    Two partial aggregates would do with the base known; here the window and the aggregate share one exchange by key.
     Deleted keys are left out, as are keys that were only counted. Hits are counted over the whole log.
+    The window and the aggregate share one exchange by key. If a few keys hold most of the log, give a ``span``: records are folded by
+    (key, sid div span) first, and a second exchange brings a row for each key and span, so no task holds a hot key's records.
     """
-    base = F.max(F.when(F.col("op").isin("set", "del"), F.col("sid"))).over(Window.partitionBy("k"))
-    rows = log.withColumn("base", base)
-    after = (F.col("op") == "inc") & (F.col("sid") > F.coalesce("base", F.lit(-1)))
+    part = ["k"] if span is None else ["k", "span"]
+    rows = log if span is None else log.withColumn("span", F.expr(f"sid div {span}"))
+    rows = rows.withColumn("base", F.max(F.when(F.col("op").isin("set", "del"), F.col("sid"))).over(Window.partitionBy(*part)))
+    after = (F.col("op") == "inc") & (F.col("sid") > F.coalesce("base", F.lit(-(1 << 62))))
     at = F.col("sid") == F.col("base")
-    state = rows.groupBy("k").agg(
+    state = rows.groupBy(*part).agg(
+        F.max("base").alias("base"),
         F.max(F.when(at & (F.col("op") == "set"), F.col("v"))).alias("set_v"),
-        F.coalesce(F.max(at & (F.col("op") == "del")), F.lit(False)).alias("deleted"),
         F.sum(F.when(after, F.col("v").cast("decimal(18,4)"))).alias("inc_v"),
         F.count_if(after).alias("n_inc"),
         F.count_if(F.col("op") == "hit").alias("hits"),
         F.max("sid").alias("last_sid"),
         F.max("ts").alias("last_ts"),
     )
+    if span is not None:
+        # Of the spans from the last set or del on: its value, and all increments.
+        start = F.max(F.when(F.col("base").isNotNull(), F.col("span"))).over(Window.partitionBy("k"))
+        state = state.withColumn("start", start).withColumn("on", F.col("start").isNull() | (F.col("span") >= F.col("start")))
+        state = state.groupBy("k").agg(
+            F.max(F.when(F.col("span") == F.col("start"), F.col("set_v"))).alias("set_v"),
+            F.sum(F.when(F.col("on"), F.col("inc_v"))).alias("inc_v"),
+            F.sum(F.when(F.col("on"), F.col("n_inc")).otherwise(0)).alias("n_inc"),
+            *[f(c).alias(c) for f, c in ((F.sum, "hits"), (F.max, "last_sid"), (F.max, "last_ts"))],
+        )
     state = state.where("set_v IS NOT NULL OR n_inc > 0")
     value = F.coalesce(F.col("set_v").cast("decimal(18,4)"), F.lit(0)) + F.coalesce("inc_v", F.lit(0))
-    return state.select("k", value.cast("double").alias("v"), "n_inc", "hits", "last_sid", "last_ts", "deleted")
+    return state.select("k", value.cast("double").alias("v"), "n_inc", "hits", "last_sid", "last_ts")
 
 
 def fold_tail(snapshot: DataFrame, tail: DataFrame) -> DataFrame:

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkkv.operators.prefix import prefix_sums
 
-def rotate(log: DataFrame, size: Column, limit: int, stream: str) -> DataFrame:
-    """``log`` with the number of the file each record goes to: a stream's records in sid order, ``limit`` bytes to a file."""
-    w = Window.partitionBy(stream).orderBy("sid")
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return log.withColumn("file_no", F.floor(before / F.lit(limit)))
+
+#: Consecutive numbers that are summed in one window.
+SPAN = 1 << 20
+
+
+def rotate(log: DataFrame, size: Column, limit: int, stream: str, span: int = SPAN) -> DataFrame:
+    """``log`` with the number of the file each record goes to: a stream's records in sid order, ``limit`` bytes to a file.
+
+    Running sums are taken by spans of sids, so one busy stream isn't one task.
+    """
+    rows = log.withColumns({"_size": size, "_span": F.expr(f"sid div {span}")})
+    rows = prefix_sums(rows, [stream], "_span", ["sid"], {"_before": "_size"})
+    return rows.withColumn("file_no", F.floor(F.col("_before") / F.lit(limit))).drop("_size", "_span", "_before")
 
 
 def retained(files: DataFrame, stream: str, keep: int) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.operators import kv, log, package, routing
+from sparkkv.operators import log, package, routing
 from sparkkv.plans.kv_queries import LOG
 from sparkkv.plans.registry import query
-from sparkkv.sources import files
+from sparkkv.sources import files, messages
 from sparkkv.sources.tables import mutation_log, table
 
 
@@ -149,6 +149,15 @@ def message_head(spark, d):
     return e.withColumn("h", package.read_head(head)).select("event_id", "h.version", "h.attr", "h.kind", "h.task", "h.size")
 
 
+@query("SELECT event_id AS task, length(event_type)::INT AS kind, event_type AS body, NULL::VARCHAR AS error FROM events")
+def message_log(spark, d):
+    """Messages of one key in a file, read back."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.concat(package.pack_head(F.lit(1), F.lit(0), F.length("event_type"), F.col("event_id"), F.octet_length("event_type")), F.col("event_type").cast("binary")).alias("m"))
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "m"))), lambda x: F.hex(x["m"])), "")
+    logs = e.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.unhex(one).alias("content"))
+    return messages.decoded(logs).select("task", "kind", F.col("body").cast("string").alias("body"), "error")
+
+
 # Routing -------------------------------------------------------------------------------------------------------------------------
 
 

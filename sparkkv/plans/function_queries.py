@@ -88,6 +88,13 @@ def address_parse(spark, d):
     return table(spark, d, "events").withColumn("a", net.address(s)).select("event_id", "a.host", "a.port")
 
 
+@query("SELECT event_id, list_extract(['any', 'loopback', 'multicast', 'linklocal', 'mapped', 'other', NULL], (event_id % 7 + 1)::INT) AS kind FROM events")
+def ipv6(spark, d):
+    forms = ["::", "::1", "ff02::1", "fe80::2", "::ffff:1.2.3.4", "2001:db8::1", "junk"]
+    s = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", net.ipv6_kind(s).alias("kind"))
+
+
 @query("SELECT event_id, printf('%06d|%-8s|%.2f', event_id, event_type, value) AS line FROM events")
 def formatted(spark, d):
     return table(spark, d, "events").select("event_id", F.format_string("%06d|%-8s|%.2f", "event_id", "event_type", "value").alias("line"))

@@ -36,7 +36,13 @@ def kv_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LOG}, {fold_sql()} SELECT * FROM folded")
 def kv_log_fold(spark, d):
-    return kv.fold(mutation_log(spark, d)).drop("deleted")
+    return kv.fold(mutation_log(spark, d))
+
+
+@query(f"WITH {LOG}, {fold_sql()} SELECT * FROM folded")
+def kv_log_fold_hot(spark, d):
+    """The same for logs with hot keys: folded by key and span of 200 sids, then by key."""
+    return kv.fold(mutation_log(spark, d), span=200)
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = 77")
@@ -140,7 +146,7 @@ def key_wide(spark, d):
 
 @query(f"WITH {LOG}, cut AS (SELECT * FROM log WHERE sid <= 700), {fold_sql('cut')} SELECT * FROM folded")
 def kv_as_of(spark, d):
-    return kv.as_of(mutation_log(spark, d), 700).drop("deleted")
+    return kv.as_of(mutation_log(spark, d), 700)
 
 
 @query(f"WITH {LOG}, {fold_sql()} SELECT k, v FROM folded")

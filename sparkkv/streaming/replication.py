@@ -6,7 +6,6 @@ service leaves the trigger out. ``rate`` bounds the files of a micro-batch, the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,19 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkkv.sources.shared import shared_dir
 from sparkkv.sources.tables import operation
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparkkv-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sparkkv/{spark.sparkContext.applicationId}"
-
-
 def dispatched(spark: SparkSession, folder: str, pattern: str = "events.parquet", rate: int = 8, subscribe: list[str] | None = None) -> DataFrame:
     """The log as a stream (sid, ts, k, op, v, kind); a subscriber may ask for some kinds only. ``ts`` is a timestamp, as watermarks need."""
     e = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", rate).parquet(folder)
@@ -117,3 +109,13 @@ def updated(stream: DataFrame, name: str, key: str) -> DataFrame:
     rows = spark.read.parquet(f"{at}/rows")
     names: list[str] = [c for c in stream.columns if c != key]
     return rows.groupBy(key).agg(F.max(F.struct("batch", *names)).alias("w")).select(key, *[f"w.{c}" for c in names])
+
+
+def figures(query) -> dict[str, int | float | None]:
+    """Operational figures of a running or ended stream, from its last micro-batch."""
+    p = query.lastProgress or {}
+    state = p.get("stateOperators") or []
+    return {
+        "batch": p.get("batchId"), "rows": p.get("numInputRows"), "rows_per_second": p.get("processedRowsPerSecond"),
+        "state_rows": sum(s["numRowsTotal"] for s in state), "late_rows": sum(s["numRowsDroppedByWatermark"] for s in state),
+    }

@@ -60,6 +60,7 @@ def test_fold_is_replay_and_needs_no_order(spark, ops, cut):
     whole = of(spark, rows)
     assert folded(kv.fold(whole.repartition(3, "sid"))) == by_hand(rows)
     assert folded(kv.fold(log.once(whole.union(whole)))) == by_hand(rows)
+    assert folded(kv.fold(whole, span=4)) == by_hand(rows)
     assert folded(kv.fold_tail(kv.as_of(whole, cut), whole.where(F.col("sid") > cut))) == by_hand(rows)
 
 
@@ -196,11 +197,25 @@ def test_replacer_is_leftmost_longest_and_single_pass(spark):
     assert [x["y"] for x in spark.createDataFrame([("aabc",), (None,)], "t string").select(r("t").alias("y")).collect()] == ["ba", None]
 
 
+def test_message_files(spark, tmp_path):
+    from sparkkv.sources import messages
+
+    def message(body, wrong=0):
+        n = len(body)
+        return bytes([1, 0]) + (7).to_bytes(2, "big") + (9).to_bytes(4, "big") + n.to_bytes(4, "big") + (1 + 7 + 9 + n + wrong & 0xFFFF).to_bytes(2, "big") + body
+
+    for name, data in {"good.log": message(b"a") + message(b"") * 2, "bad.log": message(b"a") + message(b"b", 1), "cut.log": message(b"abc")[:-1], "head.log": b"\1", "none.log": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    got = messages.message_log(spark, str(tmp_path), "*.log").selectExpr("element_at(split(path, '/'), -1) AS f", "position", "body", "error").collect()
+    assert sorted((r["f"], r["position"], r["error"]) for r in got) == [("bad.log", 0, None), ("bad.log", 15, "checksum"), ("cut.log", 0, "short body"), ("good.log", 0, None), ("good.log", 15, None), ("good.log", 29, None), ("head.log", 0, "short head")]
+    assert messages.message_log(spark, str(tmp_path), "good.log", most=0).first()["error"] == "length"
+
+
 def test_gaps_and_rotation(spark):
     rows = of(spark, [("s", 1), ("s", 2), ("s", 5), ("t", 9)], "stream string, seq long")
     assert [tuple(r) for r in log.gaps(rows, "stream").collect()] == [("s", 2, 2)]
     sized = of(spark, [("s", i, 40) for i in range(5)], "stream string, sid long, size int")
-    assert [r["file_no"] for r in log.rotate(sized, F.col("size"), 100, "stream").orderBy("sid").collect()] == [0, 0, 0, 1, 1]
+    assert [r["file_no"] for r in log.rotate(sized, F.col("size"), 100, "stream", span=2).orderBy("sid").collect()] == [0, 0, 0, 1, 1]
 
 
 def test_as_of_join_takes_the_latest_at_or_before(spark):
