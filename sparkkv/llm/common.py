@@ -1,4 +1,4 @@
-"""Shared helpers of the training-data operators: tables, lineage cuts, distributed ranks.
+"""Shared helpers of the training-data operators: tables, lineage cuts, buckets of distributed ranks.
 
 Nothing here holds data on the driver; the helpers only build DataFrames.
 """
@@ -6,37 +6,15 @@ Nothing here holds data on the driver; the helpers only build DataFrames.
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkkv.operators.prefix import prefix_sums
+from sparkkv.sources.shared import saved
+from sparkkv.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; the path may be in any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one is set only where none is, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparkkv-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
-
-    The table survives the loss of any executor, is columnar (later reads prune columns) and is written
-    once, so every reader sees the same rows. Files stay until the folder is cleared.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkkv/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["CRC32_TABLE", "bucket_of", "crc32_sql", "prefix_sums", "root_buckets", "saved", "table"]
 
 
 def root_buckets(rows: int) -> int:
@@ -49,26 +27,6 @@ def bucket_of(hex_hash: Column, buckets: int) -> Column:
     return F.floor(F.conv(F.substring(hex_hash, 1, 7), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 28))
 
 
-def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """Running sums within groups of any size, without a task that holds a whole group.
-
-    ``df`` is split by (group, bucket), where ``bucket`` must follow ``order``. Rows are summed inside their
-    bucket; the buckets' totals (a row for each, at most about the square root of a large group's rows) are
-    summed along the group and added. ``sums`` maps an output column to the summed input column; each output is the
-    sum of all *earlier* rows of the group. Group columns must not be null.
-    """
-    key = [*group, bucket]
-    totals = df.groupBy(*key).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*key, *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums])
-    inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumns({f"_i_{o}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in sums.items()})
-    out = rows.join(totals, key)
-    return out.withColumns({o: F.col(f"_i_{o}") + F.col(f"_b_{o}") for o in sums}).drop(
-        *[f"_i_{o}" for o in sums], *[f"_b_{o}" for o in sums]
-    )
-
-
 #: DuckDB table (tab) of CRC-32's 256 steps, built from the rule.
 CRC32_TABLE = "crc32_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
 
