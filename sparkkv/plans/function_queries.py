@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkkv.functions import codecs, dates, net, text
 from sparkkv.operators import textmatch
 from sparkkv.plans.registry import query
+from sparkkv.plans.sql import CRC32_TABLE, crc32_sql
 from sparkkv.sources.tables import table
 
 TERMS = [("the", 1), ("tion", 2), ("able", 4), ("license", 16), ("mit", 8), ("zebra", 64)]
@@ -22,7 +23,7 @@ def md5_digest(spark, d):
     return _docs(spark, d).select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").alias("bytes"))
 
 
-@query()
+@query(f"WITH {CRC32_TABLE} SELECT doc_id, {crc32_sql('hex(encode(text))')} AS crc, {crc32_sql('hex(encode(text))', 1)} AS seeded FROM documents, crc32_table")
 def crc32_digest(spark, d):
     """CRC-32, whole and carried on from a seed."""
     b = F.col("text").cast("binary")
@@ -132,7 +133,7 @@ def duration_normalise(spark, d):
     return table(spark, d, "events").withColumn("n", n).select("event_id", "n.sec", "n.usec")
 
 
-@query()
+@query("SELECT doc_id, (2 * (length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))))::INT AS bytes, true AS same FROM documents")
 def utf16_roundtrip(spark, d):
     b = codecs.utf16_bytes(F.col("text"))
     return _docs(spark, d).select("doc_id", F.octet_length(b).alias("bytes"), (codecs.utf16_text(b) == F.col("text")).alias("same"))
@@ -150,12 +151,12 @@ def path_name(spark, d):
     return table(spark, d, "pages").select("page_id", text.base_name(F.col("url")).alias("last"))
 
 
-@query()
+@query("SELECT c_custkey, true AS same, c_acctbal FROM customer")
 def xml_roundtrip(spark, d):
     """Rows to XML and back."""
     c = table(spark, d, "customer").withColumn("x", F.to_xml(F.struct("c_custkey", "c_name", "c_acctbal")))
     back = F.from_xml("x", "c_custkey long, c_name string, c_acctbal double")
-    return c.withColumn("b", back).select("c_custkey", (F.col("b.c_name") == F.col("c_name")).alias("same"), F.length("x").alias("chars"))
+    return c.withColumn("b", back).select("c_custkey", (F.col("b.c_name") == F.col("c_name")).alias("same"), "b.c_acctbal")
 
 
 @query("""WITH q AS (SELECT event_id, concat('k=', event_type, '&Name=a%20b+c&x=', user_id::VARCHAR, '&junk') AS s FROM events),
