@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 MARK = "▁"
 #: Bytes of text that are split at once, whatever the Arrow batch holds; longer texts make a slice of their own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def default_model() -> str:
