@@ -33,7 +33,7 @@ from sparkkv.llm.common import bucket_of, prefix_sums, root_buckets, saved, tabl
 from sparkkv.llm.graph import components
 
 THRESHOLD = 0.93
-LIST, LONGEST = 8, 64
+LIST, LONGEST = 8, 32
 TREES, LEAF = 8, 24
 WINDOW, OVERLAP = 512, 128
 ROUNDS, FORESTS = 6, 4
@@ -314,13 +314,15 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 break
         links = saved(exact_links(edges, nodes, threshold), "links")
         roots = saved(components(links), "components")
+        left, right = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         if not asked:
             break
-        left, right = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         if truth.join(left, "a").join(right, "b").where("ra = rb").count() >= RECALL * asked:
             break
-    # What the audit found counts too.
-    roots = saved(components(links.union(truth)), "components")
+    # What the audit found counts too, where it connects anything.
+    missed = truth.join(left, "a", "left").join(right, "b", "left").where("ra IS NULL OR rb IS NULL OR ra != rb").select("a", "b")
+    if missed.limit(1).count():
+        roots = saved(components(links.union(missed)), "components")
     alone = nodes.where("copies > 1").join(roots, nodes["node"] == roots["id"], "left_anti").select("node", (F.col("copies") - 1).alias("n"))
     members = nodes.join(roots, nodes["node"] == roots["id"]).select("root", "node", "copies", "vec")
     counts = link_counts(members, threshold).select("node", (F.col("n") - 1).alias("n")).union(alone)
