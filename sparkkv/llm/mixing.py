@@ -9,7 +9,8 @@ the mixture: its entropy rises, and rare sources repeat more often. The power is
 The weights are then realised: a source with weight w gets w * budget tokens as whole passes and one cut pass. Every
 pass is its own seeded permutation of the source's documents. The mixture is divided into blocks of ``block_tokens``:
 a row's block follows from how much of its source's budget precedes it, so each block meets the weights to
-within a document of each source, and rows are permuted again inside their block.
+within a document of each source. Inside a block rows are permuted again, across sources: ``place`` counts them from 0. A block is
+bounded by its tokens, so one task ranks it.
 
 The tables that grow with the corpus stay distributed: running sums use ``common.prefix_sums`` (no task holds a source), and
 each bisection pass is an aggregate over the per-source totals that returns one row.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkkv.llm.common import bucket_of, prefix_sums, root_buckets, saved, table
@@ -122,6 +123,11 @@ def shuffle_hash(seed: str, turn: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), turn.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string")))
 
 
+def block_hash(mix: Column) -> Column:
+    """A row's place in its block's permutation."""
+    return F.md5(F.concat(mix, F.lit(":block")))
+
+
 def mixture(
     docs: DataFrame,
     budget: float | str | None = "corpus",
@@ -133,7 +139,7 @@ def mixture(
     """(rows, sources) of the mixture of ``docs`` (doc_id, text, source).
 
     rows: source, doc_id, n_tokens, copies, pass (from 0), before (tokens of the source's earlier rows, over all passes), budget,
-    weight, block. sources: a row per source with its totals, weight, passes and cut. ``budget`` is a number of tokens,
+    weight, block, place. sources: a row per source with its totals, weight, passes and cut. ``budget`` is a number of tokens,
     "corpus" for as many as ``docs`` has, or None for the least that passes every source at least once.
     """
     rows = docs.select("source", "doc_id", token_count(F.col("text")).alias("n_tokens"))
@@ -155,7 +161,8 @@ def mixture(
     passes = prefix_sums(passes, ["key", "pass"], "part", ["mix"], {"before": "weighed"})
     passes = passes.where("pass < whole OR before < cut").withColumn("before", F.col("before") + F.col("pass") * F.col("tokens"))
     block = F.least(F.lit(blocks - 1), F.floor(F.col("before") * F.lit(blocks) / F.greatest(F.col("budget"), F.lit(1))))
-    return passes.select("source", "key", "doc_id", "n_tokens", "copies", "pass", "before", "budget", "weight", "mix", block.cast("long").alias("block")), sources
+    passes = passes.select("source", "key", "doc_id", "n_tokens", "copies", "pass", "before", "budget", "weight", "mix", block.cast("long").alias("block"))
+    return passes.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(block_hash(F.col("mix")), "key")).cast("long") - 1), sources
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -182,7 +189,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents at the corpus's own size: a row for each document and pass."""
     rows, _ = mixture(table(spark, sf_dir, "documents"))
-    return rows.select("source", "doc_id", "n_tokens", "copies", F.col("pass").alias("pass_no"), "before", "block", F.col("budget").alias("source_budget"), "weight")
+    return rows.select("source", "doc_id", "n_tokens", "copies", F.col("pass").alias("pass_no"), "before", "block", "place", F.col("budget").alias("source_budget"), "weight")
 
 
 def _oracle() -> str:
@@ -229,14 +236,15 @@ WITH RECURSIVE docs AS (
     unnest(range(0, CASE WHEN s.tokens > 0 THEN s.budget // greatest(s.tokens, 1) + (s.budget % greatest(s.tokens, 1) > 0)::BIGINT ELSE 1 END)) AS pass_no
   FROM rows_ r JOIN sources s USING (key)
 ), placed AS (
-  SELECT *, coalesce(sum(n_tokens * copies) OVER (PARTITION BY key, pass_no
-    ORDER BY md5('{SEED}:' || pass_no || ':' || coalesce(doc_id::VARCHAR, 'null') || ':' || n_tokens)
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM passes
+  SELECT *, coalesce(sum(n_tokens * copies) OVER (PARTITION BY key, pass_no ORDER BY mix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
+  FROM (SELECT *, md5('{SEED}:' || pass_no || ':' || coalesce(doc_id::VARCHAR, 'null') || ':' || n_tokens) AS mix FROM passes)
 ), blocks AS (SELECT greatest(1, ceil(sum(budget) / {float(BLOCK_TOKENS)}))::BIGINT AS n FROM sources)
-SELECT source, doc_id, n_tokens, copies, pass_no, (b + pass_no * tokens)::BIGINT AS before,
-  least((SELECT n FROM blocks) - 1, floor((b + pass_no * tokens) * (SELECT n FROM blocks) / greatest(budget, 1)))::BIGINT AS block,
-  budget AS source_budget, weight
-FROM placed WHERE pass_no < whole OR b < cut
+, rows_out AS (
+  SELECT *, least((SELECT n FROM blocks) - 1, floor((b + pass_no * tokens) * (SELECT n FROM blocks) / greatest(budget, 1)))::BIGINT AS block FROM placed WHERE pass_no < whole OR b < cut
+)
+SELECT source, doc_id, n_tokens, copies, pass_no, (b + pass_no * tokens)::BIGINT AS before, block,
+  row_number() OVER (PARTITION BY block ORDER BY md5(mix || ':block'), key) - 1 AS place, budget AS source_budget, weight
+FROM rows_out
 """
 
 

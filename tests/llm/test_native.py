@@ -66,6 +66,10 @@ def test_mixture_meets_its_targets(spark, how):
             assert len(ids) == by[key]["documents"]
     if how.get("budget", 1) is None:
         assert all(r["whole"] >= 1 for r in by.values())
+    places = defaultdict(list)
+    for r in got:
+        places[r["block"]].append(r["place"])
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
     share = defaultdict(Counter)
     for r in got:
         share[r["block"]][r["key"]] += r["n_tokens"]
