@@ -6,8 +6,10 @@ Nothing here holds data on the driver; the helpers only build DataFrames.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkkv.operators.prefix import prefix_sums
@@ -15,7 +17,27 @@ from sparkkv.plans.sql import CRC32_TABLE, crc32_sql
 from sparkkv.sources.shared import saved
 from sparkkv.sources.tables import table
 
-__all__ = ["CRC32_TABLE", "bucket_of", "crc32_sql", "prefix_sums", "root_buckets", "saved", "table"]
+__all__ = ["CRC32_TABLE", "bucket_of", "crc32_sql", "map_arrow", "prefix_sums", "root_buckets", "saved", "table"]
+
+
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` in small batches; a session that asks for smaller ones still keeps its setting.
+
+    Buffers come from the system's allocator, which gives large ones back when a batch is done.
+    """
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+
+    return df.mapInArrow(lean, schema)
 
 
 def root_buckets(rows: int) -> int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import saved, table
+from sparkkv.llm.common import map_arrow, saved, table
 from sparkkv.llm.graph import components
 from sparkkv.llm.pieces import slices, split_words
 
@@ -129,7 +129,7 @@ def digests(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                 if part.any():
                     yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([i // block], pa.int64()), pa.array([part.tobytes()], pa.binary())], names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, low long, high long, slot long, counts binary")
+    return map_arrow(_texts(docs), run, "doc_id long, n long, low long, high long, slot long, counts binary")
 
 
 def frequency_classes(parts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -152,7 +152,7 @@ def frequency_classes(parts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         classes = np.round(4 * np.log2(1 + total)).astype(np.uint8)
         return pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([classes.tobytes()], pa.binary())], ["slot", "classes"])
 
-    summed = parts.select("slot", "counts").repartition("slot").sortWithinPartitions("slot").mapInArrow(add, "slot long, classes binary")
+    summed = map_arrow(parts.select("slot", "counts").repartition("slot").sortWithinPartitions("slot"), add, "slot long, classes binary")
     out, block = np.zeros(1 << bits, np.uint8), 1 << 16
     for row in summed.toLocalIterator():  # 2 ** bits bytes in all
         out[row["slot"] * block : row["slot"] * block + len(row["classes"])] = np.frombuffer(row["classes"], np.uint8)
@@ -188,7 +188,7 @@ def prefixes(docs: DataFrame, classes: np.ndarray, bits: int = SKETCH_BITS) -> D
                     lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32)), _long(np.concatenate(c))) for c in (bands, heads)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *lists], ["doc_id", "n", "bands", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, bands array<long>, prefix array<long>")
+    return map_arrow(_texts(docs), run, "doc_id long, n long, bands array<long>, prefix array<long>")
 
 
 def among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -206,7 +206,7 @@ def stored_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
-    found = among(_texts(docs), ids, "left_semi").mapInArrow(run, "doc_id long, set binary")
+    found = map_arrow(among(_texts(docs), ids, "left_semi"), run, "doc_id long, set binary")
     return saved(found, "sets")
 
 
@@ -226,7 +226,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     rows = rows.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return rows.mapInArrow(run, "a long, b long, na long, nb long, both long")
+    return map_arrow(rows, run, "a long, b long, na long, nb long, both long")
 
 
 #: Of the rows of ``compared``.
@@ -314,7 +314,7 @@ def listed_pairs(entries: DataFrame) -> DataFrame:
         if held:
             yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return entries.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(entries, run, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import table
+from sparkkv.llm.common import map_arrow, table
 
 #: Base phrases and labels (fixed values of the contract).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -205,7 +205,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 found = zip(*[scan(x.as_py(), base, automata, anchors) for x in batch.column(1)], strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(found, types, strict=True)]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")), run, SCHEMA)
 
 
 def op2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

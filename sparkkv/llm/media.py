@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import CRC32_TABLE, crc32_sql, table
+from sparkkv.llm.common import CRC32_TABLE, crc32_sql, map_arrow, table
 
 WIDTH = 64
 TILE_ROWS = 4096
@@ -162,7 +162,7 @@ def media_tiles(images: DataFrame, id_col: str, data_col: str, tile_rows: int =
                     found = [(id_, None if data is None else "bad", *[None] * 7)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
-    return images.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, TILE_SCHEMA)
+    return map_arrow(images.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")), run, TILE_SCHEMA)
 
 
 STORED_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -187,7 +187,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
                 found = zip(*[one(x.as_py()) for x in batch.column(1)], strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(found, types, strict=True)]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).mapInArrow(run, STORED_SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")), run, STORED_SCHEMA)
 
 
 def op9_npy(spark: SparkSession, sf_dir: str) -> DataFrame:

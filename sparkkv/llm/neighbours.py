@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import bucket_of, prefix_sums, root_buckets, saved, table
+from sparkkv.llm.common import bucket_of, map_arrow, prefix_sums, root_buckets, saved, table
 from sparkkv.llm.graph import components
 
 THRESHOLD = 0.93
@@ -68,7 +68,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["node", "key", "copies", "vec"])
 
     grouped = rows.groupBy("key", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).select("node", "key", "copies", "vec")
-    return grouped.mapInArrow(unit, "node long, key string, copies long, vec binary")
+    return map_arrow(grouped, unit, "node long, key string, copies long, vec binary")
 
 
 def _best(sims: np.ndarray, ids: np.ndarray, most: int, floor: float, out: list) -> None:
@@ -141,10 +141,10 @@ def forest(nodes: DataFrame, levels: int, seed: int, most: int = LIST, floor: fl
                 out = []
         yield from _edges(out)
 
-    rows = nodes.select("node", "key", "vec").mapInArrow(leaves, "node long, key string, leaf array<long>, along array<double>, vec binary")
+    rows = map_arrow(nodes.select("node", "key", "vec"), leaves, "node long, key string, leaf array<long>, along array<double>, vec binary")
     rows = rows.select("node", "key", "vec", F.posexplode(F.arrays_zip("leaf", "along")).alias("tree", "at")).select("tree", "key", "at.leaf", "node", "vec", "at.along")
     rows = rows.repartition("tree", "key", "leaf").sortWithinPartitions("tree", "key", "leaf", "along")
-    return rows.select("tree", "key", "leaf", "node", "vec").mapInArrow(pairs, EDGES)
+    return map_arrow(rows.select("tree", "key", "leaf", "node", "vec"), pairs, EDGES)
 
 
 def best_lists(edges: DataFrame, most: int, threshold: float) -> DataFrame:
@@ -174,8 +174,8 @@ def descend(edges: DataFrame, nodes: DataFrame, most: int, threshold: float, flo
                 out = []
         yield from _edges(out)
 
-    rows = around.join(nodes.select("node", "vec"), "node").select("src", "node", "vec").mapInArrow(short, "src long, node long, vec binary")
-    found = rows.repartition("src").sortWithinPartitions("src", "node").mapInArrow(pairs, EDGES)
+    rows = map_arrow(around.join(nodes.select("node", "vec"), "node").select("src", "node", "vec"), short, "src long, node long, vec binary")
+    found = map_arrow(rows.repartition("src").sortWithinPartitions("src", "node"), pairs, EDGES)
     return best_lists(edges.union(found), most, threshold)
 
 
@@ -190,7 +190,7 @@ def exact_links(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
 
     pairs = edges.where(F.col("sim") >= threshold - 1e-5).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("vec").alias("va")), "a").join(nodes.select(F.col("node").alias("b"), F.col("vec").alias("vb")), "b")
-    return pairs.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.select("a", "b", "va", "vb"), run, "a long, b long")
 
 
 def audit(nodes: DataFrame, total: int, threshold: float, bound: int = AUDITED) -> DataFrame:
@@ -213,7 +213,7 @@ def audit(nodes: DataFrame, total: int, threshold: float, bound: int = AUDITED)
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(ids[j])], ["a", "b"])
 
-    return nodes.select("node", "key", "vec").mapInArrow(run, "a long, b long")
+    return map_arrow(nodes.select("node", "key", "vec"), run, "a long, b long")
 
 
 def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
@@ -272,19 +272,19 @@ def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> Data
     slim = members.select("root", "node", "mix", "one").withColumn("part", bucket_of(F.col("mix"), root_buckets(members.count())))
     placed = prefix_sums(slim, ["root"], "part", ["mix", "node"], {"rank": "one"}).select("node", F.expr(f"rank div {size}").alias("block"))
     rows = members.select("root", "node", "copies", "vec").join(placed, "node").select("root", "block", "node", "copies", "vec")
-    blocks = rows.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(fill, "root long, block long, ids binary, copies binary, mat binary, centre binary, radius double, total long")
+    blocks = map_arrow(rows.repartition("root", "block").sortWithinPartitions("root", "block"), fill, "root long, block long, ids binary, copies binary, mat binary, centre binary, radius double, total long")
     blocks = saved(blocks, "blocks")
-    counts = blocks.select("ids", "copies", "mat").mapInArrow(own, "node long, n long")
+    counts = map_arrow(blocks.select("ids", "copies", "mat"), own, "node long, n long")
     if blocks.where("block > 0").limit(1).count():
         several = blocks.join(blocks.where("block > 0").select("root").distinct(), "root", "left_semi")
         a, b = several.select("root", F.col("block").alias("i"), "centre", "radius"), several.select(F.col("root").alias("r"), F.col("block").alias("j"), F.col("centre").alias("d"), F.col("radius").alias("s"))
         said = a.join(b, (F.col("root") == F.col("r")) & (F.col("i") < F.col("j"))).select("root", "i", "j", "centre", "d", "radius", "s")
-        said = saved(said.mapInArrow(verdict, "root long, i long, j long, says long"), "verdicts")
+        said = saved(map_arrow(said, verdict, "root long, i long, j long, says long"), "verdicts")
         content = blocks.select("root", "block", "ids", "copies", "mat", "total")
         one = content.select("root", F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("copies").alias("ca"), F.col("mat").alias("ma"))
         two = content.select("root", F.col("block").alias("j"), F.col("ids").alias("ib"), F.col("copies").alias("cb"), F.col("mat").alias("mb"))
         open_ = said.where("says = 0").join(one, ["root", "i"]).join(two, ["root", "j"])
-        counts = counts.union(open_.select("ia", "ca", "ma", "ib", "cb", "mb").mapInArrow(cross, "node long, n long"))
+        counts = counts.union(map_arrow(open_.select("ia", "ca", "ma", "ib", "cb", "mb"), cross, "node long, n long"))
         total = content.select("root", F.col("block").alias("other"), "total")
         ways = said.where("says = 1").select("root", F.col("i").alias("block"), F.col("j").alias("other")).union(said.where("says = 1").select("root", F.col("j").alias("block"), F.col("i").alias("other")))
         whole = ways.join(total, ["root", "other"]).groupBy("root", "block").agg(F.sum("total").alias("n"))

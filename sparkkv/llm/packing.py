@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import bucket_of, prefix_sums, root_buckets, saved, table
+from sparkkv.llm.common import bucket_of, map_arrow, prefix_sums, root_buckets, saved, table
 
 CAPACITY = 2048
 END = 0
@@ -101,7 +101,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool =
             columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held))))
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -178,7 +178,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:rank], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:rank], "sequence_id", "offset"])
 
     out = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return ranked.mapInArrow(run, out)
+    return map_arrow(ranked, run, out)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import table
+from sparkkv.llm.common import map_arrow, table
 from sparkkv.llm.pieces import MARK, Memory, load_pieces, slices, split_words, sums
 
 UNKNOWN_PENALTY = 10.0
@@ -95,7 +95,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([ids, pa.array(total[:, 0].astype(np.int64)), pa.array(total[:, 1])], ["doc_id", "n_tokens", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return map_arrow(rows, run, "doc_id long, n_tokens long, score double")
 
 
 def op4_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
