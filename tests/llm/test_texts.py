@@ -185,6 +185,8 @@ def test_language_edges(spark, sf, fitted):
     assert langid.fit(none) is None
     assert langid.predict(none, None).first()["lang_pred"] == "und"
     assert langid.predict(docs_of(spark, []), fitted).count() == 0
+    signs = docs_of(spark, [(1, "½ ² Ⅷ _ 3", None, None), (2, "ª", None, None), (3, "½ é", None, None)])
+    assert [r["lang_pred"] == "und" for r in langid.predict(signs, fitted).orderBy("doc_id").collect()] == [True, False, False]
     again = clashing(docs_of(spark, [(1, "les en", "xx", "a")]))
     assert [c for c in langid.predict(again, fitted, names=("p", "q")).columns if c not in ("p", "q")] == again.columns
 
