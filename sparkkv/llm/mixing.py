@@ -9,14 +9,14 @@ the mixture: its entropy rises, and rare sources repeat more often. The power is
 The weights are then realised: a source with weight w gets w * budget tokens as whole passes and one cut pass. Every
 pass is its own seeded permutation of the source's documents. The mixture is divided into blocks of ``block_tokens``:
 a row's block follows from how much of its source's budget precedes it, so each block meets the weights to
-within a document of each source. Inside a block rows are permuted again, across sources: ``place`` counts them from 0. A block is
-bounded by its tokens, so one task ranks it.
+within a document of each source. Rows without tokens are dealt to the blocks by their hash. Inside a block rows are permuted again, across
+sources: ``place`` counts them from 0. Blocks are as many as both tokens and rows need, so one task can rank a block.
 
 The tables that grow with the corpus stay distributed: running sums use ``common.prefix_sums`` (no task holds a source), and
 each bisection pass is an aggregate over the per-source totals that returns one row.
 
-Defined results: tokens are runs of other than white space; a null or empty text has none and travels with the pass
-in which its place falls; a null source is a source; rows equal in (source, doc_id, tokens) are mixed together and carry their
+Defined results: tokens are runs of other than white space; a null or empty text has none, and is in a cut pass if its place
+comes before the cut; a null source is a source; rows equal in (source, doc_id, tokens) are mixed together and carry their
 number in ``copies``; a source without tokens gets one pass; an empty table gives an empty result; other columns,
 also with clashing names, are only passed through by ``mixed_documents``.
 """
@@ -152,7 +152,7 @@ def mixture(
     power = find_power(totals, tokens, entropy_fraction, repetition_limit)
     sources = saved(source_budgets(totals, power, tokens), "mix-sources")
     spent = float(sources.agg(F.sum("budget")).first()[0] or 0)
-    blocks = max(1, math.ceil(spent / block_tokens))
+    blocks = max(1, math.ceil(max(spent, n_rows or 0) / block_tokens))
 
     of_source = sources.select("key", "weight", "budget", "tokens", "whole", "cut")
     passes = rows.join(of_source, "key").withColumn("pass", F.explode(F.expr("sequence(0L, whole - IF(cut = 0, 1L, 0L))")))
@@ -161,6 +161,7 @@ def mixture(
     passes = prefix_sums(passes, ["key", "pass"], "part", ["mix"], {"before": "weighed"})
     passes = passes.where("pass < whole OR before < cut").withColumn("before", F.col("before") + F.col("pass") * F.col("tokens"))
     block = F.least(F.lit(blocks - 1), F.floor(F.col("before") * F.lit(blocks) / F.greatest(F.col("budget"), F.lit(1))))
+    block = F.when(F.col("n_tokens") > 0, block).otherwise(bucket_of(F.col("mix"), blocks))
     passes = passes.select("source", "key", "doc_id", "n_tokens", "copies", "pass", "before", "budget", "weight", "mix", block.cast("long").alias("block"))
     return passes.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(block_hash(F.col("mix")), "key")).cast("long") - 1), sources
 
@@ -238,9 +239,10 @@ WITH RECURSIVE docs AS (
 ), placed AS (
   SELECT *, coalesce(sum(n_tokens * copies) OVER (PARTITION BY key, pass_no ORDER BY mix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
   FROM (SELECT *, md5('{SEED}:' || pass_no || ':' || coalesce(doc_id::VARCHAR, 'null') || ':' || n_tokens) AS mix FROM passes)
-), blocks AS (SELECT greatest(1, ceil(sum(budget) / {float(BLOCK_TOKENS)}))::BIGINT AS n FROM sources)
+), blocks AS (SELECT greatest(1, ceil(greatest(sum(budget), (SELECT sum(copies) FROM rows_)) / {float(BLOCK_TOKENS)}))::BIGINT AS n FROM sources)
 , rows_out AS (
-  SELECT *, least((SELECT n FROM blocks) - 1, floor((b + pass_no * tokens) * (SELECT n FROM blocks) / greatest(budget, 1)))::BIGINT AS block FROM placed WHERE pass_no < whole OR b < cut
+  SELECT *, CASE WHEN n_tokens > 0 THEN least((SELECT n FROM blocks) - 1, floor((b + pass_no * tokens) * (SELECT n FROM blocks) / greatest(budget, 1)))::BIGINT
+    ELSE floor(('0x' || substr(mix, 1, 7))::BIGINT * (SELECT n FROM blocks) / {float(1 << 28)})::BIGINT END AS block FROM placed WHERE pass_no < whole OR b < cut
 )
 SELECT source, doc_id, n_tokens, copies, pass_no, (b + pass_no * tokens)::BIGINT AS before, block,
   row_number() OVER (PARTITION BY block ORDER BY md5(mix || ':block'), key) - 1 AS place, budget AS source_budget, weight

@@ -97,6 +97,13 @@ def test_mixture_edges(spark):
     assert mixing.mixed_documents(odd, budget=None).count() == 7
 
 
+def test_rows_without_tokens_are_spread_over_the_blocks(spark):
+    docs = docs_of(spark, [(n, "w " * 20, "en", "a") for n in range(50)] + [(n, "" if n % 2 else None, "en", "e") for n in range(50, 450)])
+    rows = mixing.mixture(docs, block_tokens=50)[0].collect()
+    of_block = Counter(r["block"] for r in rows if r["n_tokens"] == 0)
+    assert sum(of_block.values()) == 400 and len(of_block) == 20 and max(of_block.values()) < 60
+
+
 # Chat ----------------------------------------------------------------------------------------------------------------------------
 
 CHAT = "conv_id long, turn long, role string, text string"
