@@ -4,11 +4,13 @@
 2. A forest of random hyperplane trees gives first neighbour lists: all pairs inside a leaf (in windows along a projection, so that
    a leaf of any size is worked off in bounded memory).
 3. Descent: the neighbours of a node, forward and reverse, are compared with each other, and each keeps the best; again until the lists stop
-   changing. Lists hold ``LIST`` neighbours; where all of them are links the list is saturated and doubles in every round. Edges wider than twice a
-   link's angle are dropped: no two links span more.
+   changing (by a checksum of their entries). Lists hold ``LIST`` neighbours; where all of them are links the list is saturated and doubles in
+   every round, up to ``LONGEST``. A list full of ``LONGEST`` links isn't waited for: its component is bridged and counted exactly. Edges
+   wider than twice a link's angle are dropped: no two links span more.
 4. Audit: a bounded, hashed set of query nodes is compared with all nodes; the share of their links whose ends are connected is the
    recall. Below ``RECALL`` another forest with other planes and further rounds follow.
-5. Threshold edges give components. Last, saturated lists are enlarged to their whole component: its members, in blocks of ``BLOCK``,
+5. Threshold edges give components. Those of more than ``LONGEST`` nodes, whose lists may be full, are compared with each other block by block, and
+   joined where any two of their nodes are linked. Last, saturated lists are enlarged to their whole component: its members, in blocks of ``BLOCK``,
    are compared block by block, so that every vector's number of links is counted without a row for a pair. Block pairs whose centres and radii
    decide all their pairs at once (all links, or none) are counted without being compared.
 
@@ -33,10 +35,10 @@ from sparkkv.llm.common import bucket_of, map_arrow, prefix_sums, root_buckets,
 from sparkkv.llm.graph import components
 
 THRESHOLD = 0.93
-LIST, LONGEST = 8, 32
+LIST, LONGEST = 8, 64
 TREES, LEAF = 8, 24
 WINDOW, OVERLAP = 512, 128
-ROUNDS, FORESTS = 6, 4
+FORESTS = 4
 AUDITED, RECALL = 256, 0.995
 BLOCK = 512
 
@@ -216,9 +218,8 @@ def audit(nodes: DataFrame, total: int, threshold: float, bound: int = AUDITED)
     return map_arrow(nodes.select("node", "key", "vec"), run, "a long, b long")
 
 
-def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
-    """(node, n): for every member (root, node, copies, vec) of a component the vectors of the component linked with it, its own copies included."""
-    wide = math.acos(threshold)
+def blocks_of(members: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The members (root, node, copies, vec) with their block, and the blocks of at most ``size`` members of a component."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -243,14 +244,18 @@ def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> Data
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["root", "block", "ids", "copies", "mat", "centre", "radius", "total"])
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, copies, mat in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                ids, copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
-                x = np.frombuffer(mat, "<f8").reshape(len(ids), -1)
-                near = x @ x.T >= threshold
-                np.fill_diagonal(near, True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ copies)], ["node", "n"])
+    members = members.withColumns({"mix": F.md5(F.col("node").cast("string")), "one": F.lit(1).cast("long")})
+    slim = members.select("root", "node", "mix", "one").withColumn("part", bucket_of(F.col("mix"), root_buckets(members.count())))
+    placed = prefix_sums(slim, ["root"], "part", ["mix", "node"], {"rank": "one"}).select("node", F.expr(f"rank div {size}").alias("block"))
+    rows = members.select("root", "node", "copies", "vec").join(placed, "node").select("root", "block", "node", "copies", "vec")
+    blocks = map_arrow(rows.repartition("root", "block").sortWithinPartitions("root", "block"), fill, "root long, block long, ids binary, copies binary, mat binary, centre binary, radius double, total long")
+    blocks = saved(blocks, "blocks")
+    return rows, blocks
+
+
+def verdicts(pairs: DataFrame, threshold: float, keys: str) -> DataFrame:
+    """The three ``keys`` of block ``pairs`` (keys, centre, d, radius, s), and ``says``: 1 if all their pairs are links, -1 if none is, 0 if that is open."""
+    wide, names = math.acos(threshold), [x.split()[0] for x in keys.split(", ")]
 
     def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +264,21 @@ def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> Data
                 angle = np.arccos(np.clip((c * d).sum(axis=1), -1, 1))
                 r = np.asarray(batch.column(5)) + np.asarray(batch.column(6))
                 says = np.where(angle + r <= wide - 1e-9, 1, np.where(angle - r > wide + 1e-9, -1, 0))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(says)], ["root", "i", "j", "says"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(says)], [*names, "says"])
+
+    return map_arrow(pairs, verdict, f"{keys}, says long")
+
+
+def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
+    """(node, n): for every member (root, node, copies, vec) of a component the vectors of the component linked with it, its own copies included."""
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, copies, mat in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                ids, copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
+                x = np.frombuffer(mat, "<f8").reshape(len(ids), -1)
+                near = x @ x.T >= threshold
+                np.fill_diagonal(near, True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ copies)], ["node", "n"])
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,18 +287,13 @@ def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> Data
                 near = np.frombuffer(xa, "<f8").reshape(len(a), -1) @ np.frombuffer(xb, "<f8").reshape(len(b), -1).T >= threshold
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, b]), pa.array(np.r_[near @ cb, ca @ near])], ["node", "n"])
 
-    members = members.withColumns({"mix": F.md5(F.col("node").cast("string")), "one": F.lit(1).cast("long")})
-    slim = members.select("root", "node", "mix", "one").withColumn("part", bucket_of(F.col("mix"), root_buckets(members.count())))
-    placed = prefix_sums(slim, ["root"], "part", ["mix", "node"], {"rank": "one"}).select("node", F.expr(f"rank div {size}").alias("block"))
-    rows = members.select("root", "node", "copies", "vec").join(placed, "node").select("root", "block", "node", "copies", "vec")
-    blocks = map_arrow(rows.repartition("root", "block").sortWithinPartitions("root", "block"), fill, "root long, block long, ids binary, copies binary, mat binary, centre binary, radius double, total long")
-    blocks = saved(blocks, "blocks")
+    rows, blocks = blocks_of(members, size)
     counts = map_arrow(blocks.select("ids", "copies", "mat"), own, "node long, n long")
     if blocks.where("block > 0").limit(1).count():
         several = blocks.join(blocks.where("block > 0").select("root").distinct(), "root", "left_semi")
         a, b = several.select("root", F.col("block").alias("i"), "centre", "radius"), several.select(F.col("root").alias("r"), F.col("block").alias("j"), F.col("centre").alias("d"), F.col("radius").alias("s"))
         said = a.join(b, (F.col("root") == F.col("r")) & (F.col("i") < F.col("j"))).select("root", "i", "j", "centre", "d", "radius", "s")
-        said = saved(map_arrow(said, verdict, "root long, i long, j long, says long"), "verdicts")
+        said = saved(verdicts(said, threshold, "root long, i long, j long"), "verdicts")
         content = blocks.select("root", "block", "ids", "copies", "mat", "total")
         one = content.select("root", F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("copies").alias("ca"), F.col("mat").alias("ma"))
         two = content.select("root", F.col("block").alias("j"), F.col("ids").alias("ib"), F.col("copies").alias("cb"), F.col("mat").alias("mb"))
@@ -292,6 +306,52 @@ def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> Data
     return counts.groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def bridges(members: DataFrame, keys: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
+    """(a, b): roots of different components (members: root, node, copies, vec) of one key (keys: root, key) that have a link between them."""
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, xa, b, xb, width in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                near = np.frombuffer(xa, "<f8").reshape(-1, width) @ np.frombuffer(xb, "<f8").reshape(-1, width).T >= threshold
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64())], ["a", "b"])
+
+    _, blocks = blocks_of(members, size)
+    blocks = saved(blocks.join(keys, "root").withColumn("id", F.monotonically_increasing_id()), "bridge-blocks")
+    one = blocks.select("key", F.col("root").alias("a"), F.col("id").alias("i"), "centre", "radius")
+    two = blocks.select("key", F.col("root").alias("b"), F.col("id").alias("j"), F.col("centre").alias("d"), F.col("radius").alias("s"))
+    # The verdict's keys are the two blocks' ids; a third one isn't needed.
+    pairs = one.join(two, "key").where("a < b").select(F.lit(0).cast("long").alias("x"), "i", "j", "centre", "d", "radius", "s")
+    said = verdicts(pairs, threshold, "x long, i long, j long").where("says >= 0")
+    roots = blocks.select("id", "root")
+    said = said.join(roots.select(F.col("id").alias("i"), F.col("root").alias("a")), "i").join(roots.select(F.col("id").alias("j"), F.col("root").alias("b")), "j")
+    said = saved(said.select("a", "b", "i", "j", "says"), "bridge-verdicts")
+    sure = said.where("says = 1").select("a", "b").distinct()
+    content = blocks.select("id", "mat", (F.octet_length("centre") / 8).cast("int").alias("width"))
+    left, right = content.select(F.col("id").alias("i"), F.col("mat").alias("ma"), "width"), content.select(F.col("id").alias("j"), F.col("mat").alias("mb"))
+    open_ = said.where("says = 0").join(sure, ["a", "b"], "left_anti").join(left, "i").join(right, "j")
+    return sure.union(map_arrow(open_.select("a", "ma", "b", "mb", "width"), cross, "a long, b long")).distinct()
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Count and checksum of the entries of all lists but those that are full of ``LONGEST`` links."""
+    lists = edges.groupBy("src").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("src", "dst"), F.lit(1 << 32))).alias("h")).where(F.col("n") < LONGEST)
+    return tuple(lists.agg(F.sum("n"), F.sum(F.pmod("h", F.lit(1 << 40)))).first())
+
+
+def joined(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(id, root): the components of ``links``, the large ones bridged."""
+    roots = saved(components(links), "components")
+    large = roots.groupBy("root").count().where(F.col("count") > LONGEST).select("root")
+    large = large.join(nodes.select(F.col("node").alias("root"), "key"), "root")
+    large = saved(large.join(large.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select("root", "key"), "large")
+    if not large.limit(1).count():
+        return roots
+    members = roots.join(large.select("root"), "root", "left_semi").join(nodes, F.col("id") == F.col("node")).select("root", "node", "copies", "vec")
+    found = saved(bridges(members, large, threshold), "bridges")
+    return saved(components(links.union(found)), "components") if found.limit(1).count() else roots
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings``."""
     rows = saved(vectors(embeddings), "vectors")
@@ -305,15 +365,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     for attempt in range(FORESTS):
         found = forest(nodes, levels, attempt, LIST, floor)
         edges = saved(best_lists(edges.union(found) if attempt else found, LIST, threshold), "lists")
-        mark, most = edges.count(), LIST
-        for _ in range(ROUNDS if mark else 0):
+        before, mark, most = None, _mark(edges), LIST
+        while mark[0] and mark != before:
             most = min(LONGEST, 2 * most)
             edges = saved(descend(edges, nodes, most, threshold, floor), "lists")
-            before, mark = mark, edges.count()
-            if mark <= before * 1.001:
-                break
+            before, mark = mark, _mark(edges)
         links = saved(exact_links(edges, nodes, threshold), "links")
-        roots = saved(components(links), "components")
+        roots = joined(links, nodes, threshold)
         left, right = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         if not asked:
             break
@@ -322,7 +380,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     # What the audit found counts too, where it connects anything.
     missed = truth.join(left, "a", "left").join(right, "b", "left").where("ra IS NULL OR rb IS NULL OR ra != rb").select("a", "b")
     if missed.limit(1).count():
-        roots = saved(components(links.union(missed)), "components")
+        roots = joined(links.union(missed), nodes, threshold)
     alone = nodes.where("copies > 1").join(roots, nodes["node"] == roots["id"], "left_anti").select("node", (F.col("copies") - 1).alias("n"))
     members = nodes.join(roots, nodes["node"] == roots["id"]).select("root", "node", "copies", "vec")
     counts = link_counts(members, threshold).select("node", (F.col("n") - 1).alias("n")).union(alone)

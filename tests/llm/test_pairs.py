@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -176,6 +176,40 @@ def test_a_large_tight_group(spark):
     assert set(got.values()) == {(1299, 0, True), (1299, 0, False)} and got[0][2]
 
 
+def unaudited(monkeypatch):
+    """The audit has no query nodes, so it can't mend what the descent misses."""
+    real_audit = neighbours.audit
+    monkeypatch.setattr(neighbours, "audit", lambda nodes, *a, **k: real_audit(nodes.where("node < 0"), *a, **k))
+
+
+@pytest.mark.parametrize("noise", [0.001, 0.03])
+def test_linked_clumps_are_one_component(spark, monkeypatch, noise):
+    """All lists are full of links inside a clump; the links between the clumps are in none."""
+    unaudited(monkeypatch)
+    rng = np.random.default_rng(7)
+    a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+    rows = [(i, [float(v) for v in (a if i % 2 else 0.94 * a + (1 - 0.94**2) ** 0.5 * b) + rng.standard_normal(16) * noise], 1) for i in range(300)]
+    assert answers(neighbours.near_vectors(spark.createDataFrame(rows, VECTORS))) == vectors_by_hand(rows)
+
+
+def test_descent_goes_on_while_lists_change(spark, monkeypatch):
+    """The number of entries is flat early; the last round is one that changed no entry."""
+    unaudited(monkeypatch)
+    real_descend, rounds = neighbours.descend, []
+
+    def descend(*a):
+        out = jaccard.saved(real_descend(*a))
+        rounds.append({(r["src"], r["dst"]) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(neighbours, "descend", descend)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in 1 + rng.standard_normal(24) * 0.3], 1) for i in range(600)]
+    neighbours.near_vectors(spark.createDataFrame(rows, VECTORS))
+    full = {s for s, n in Counter(s for s, _ in rounds[-1]).items() if n >= neighbours.LONGEST}
+    assert {e for e in rounds[-1] if e[0] not in full} == {e for e in rounds[-2] if e[0] not in full}
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [None, 1.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [1.0, 0.0], None), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.0], 1), (13, [-1.0, 0.0], 1), (14, [1e-30, 0.0], 1)]
