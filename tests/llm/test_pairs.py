@@ -210,6 +210,24 @@ def test_descent_goes_on_while_lists_change(spark, monkeypatch):
     assert {e for e in rounds[-1] if e[0] not in full} == {e for e in rounds[-2] if e[0] not in full}
 
 
+def test_lost_pairs_count_as_much_as_a_large_group(spark, monkeypatch):
+    """The first forest finds nothing but the large group; the pairs weigh enough for a second one."""
+    real_forest = neighbours.forest
+    monkeypatch.setattr(neighbours, "forest", lambda nodes, levels, seed, *a: real_forest(nodes.where("node < 600") if seed == 0 else nodes, levels, seed, *a))
+    rng = np.random.default_rng(11)
+    c, pairs = rng.standard_normal(16), rng.standard_normal((100, 16))
+    large = [(i, [float(v) for v in c + rng.standard_normal(16) * 0.02], 1) for i in range(600)]
+    small = [(600 + i, [float(v) for v in pairs[i // 2] + rng.standard_normal(16) * 0.02], 2) for i in range(200)]
+    assert answers(neighbours.near_vectors(spark.createDataFrame(large + small, VECTORS))) == vectors_by_hand(large + small)
+
+
+def test_recall_that_is_not_reached_raises(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FORESTS", 1)
+    monkeypatch.setattr(neighbours, "forest", lambda nodes, *a: nodes.sparkSession.createDataFrame([], neighbours.EDGES))
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_vectors(spark.createDataFrame([(i, [1.0, i / 1000], 1) for i in range(20)], VECTORS))
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [None, 1.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [1.0, 0.0], None), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.0], 1), (13, [-1.0, 0.0], 1), (14, [1e-30, 0.0], 1)]
