@@ -288,6 +288,17 @@ def predict(docs: DataFrame, fitted: Model | None, text_col: str = "text", vocab
     return map_arrow(docs, run, out)
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([x is not None and bool(_LETTER.search(x)) for x in batch.column(place).to_pylist()], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -282,6 +283,19 @@ def test_pipeline_edges(spark):
     assert empty.count() == 0 and "sequence_id" in empty.columns
 
 
+def test_language_stage_without_usable_labels(spark):
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for lang in (None, "en"):
+        docs = docs_of(spark, [(held, "the and of", lang, "a"), (held, "123", None, "a"), (held, None, None, "a")])
+        assert [r["text"] for r in corpus_pipeline.language(spark, docs, "").collect()] == ["the and of"]
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(5, "one two three", "en", "a"), (5, "quite another text", "en", "a"), (5, "quite another text", "en", "a"), (2, "one two three", "en", "b"), (None, "one two three", "en", "b"), (9, "a third one", "en", "b")]
+    got = corpus_pipeline.near_duplicates(spark, clashing(docs_of(spark, rows)), "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == [(0, "one two three"), (2, "one two three"), (5, "quite another text"), (9, "a third one")]
+
+
 def test_vectors_of_the_fixture(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in table.collect()]
