@@ -150,12 +150,19 @@ def message_head(spark, d):
     return e.withColumn("h", package.read_head(head)).select("event_id", "h.version", "h.attr", "h.kind", "h.task", "h.size")
 
 
+#: Bytes of messages in a file: the unit in which logs are decoded.
+LOG_FILE = 65536
+
+
 @query("SELECT event_id AS task, length(event_type)::INT AS kind, event_type AS body, NULL::VARCHAR AS error FROM events")
 def message_log(spark, d):
-    """Messages of one key in a file, read back."""
-    e = table(spark, d, "events").select("user_id", "event_id", F.concat(package.pack_head(F.lit(1), F.lit(0), F.length("event_type"), F.col("event_id"), F.octet_length("event_type")), F.col("event_type").cast("binary")).alias("m"))
-    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "m"))), lambda x: F.hex(x["m"])), "")
-    logs = e.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.unhex(one).alias("content"))
+    """Messages of one key in files of about ``LOG_FILE`` bytes, read back."""
+    e = table(spark, d, "events")
+    m = F.concat(package.pack_head(F.lit(1), F.lit(0), F.length("event_type"), F.col("event_id"), F.octet_length("event_type")), F.col("event_type").cast("binary"))
+    rows = e.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("stream"), F.col("event_id").alias("sid"), m.alias("m")).where("m IS NOT NULL")
+    rows = log.rotate(rows, F.octet_length("m"), LOG_FILE, "stream")
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sid", "m"))), lambda x: F.hex(x["m"])), "")
+    logs = rows.groupBy("stream", "file_no").agg(F.unhex(one).alias("content")).select(F.concat_ws("/", "stream", "file_no").alias("path"), "content")
     return messages.decoded(logs).select("task", "kind", F.col("body").cast("string").alias("body"), "error")
 
 

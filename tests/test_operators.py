@@ -259,3 +259,20 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_message_logs_of_a_busy_key_are_bounded_files(spark, tmp_path, monkeypatch):
+    from sparkkv.plans import audit_queries
+
+    rows = [(i, 7, "view" if i % 3 else "purchase") for i in range(12_000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    sizes, decoded = [], audit_queries.messages.decoded
+
+    def seen(logs):
+        sizes.extend(r[0] for r in logs.selectExpr("length(content)").collect())
+        return decoded(logs)
+
+    monkeypatch.setattr(audit_queries.messages, "decoded", seen)
+    got = audit_queries.message_log(spark, str(tmp_path)).collect()
+    assert sorted((r["task"], r["kind"], r["body"], r["error"]) for r in got) == [(i, len(t), t, None) for i, _, t in rows]
+    assert len(sizes) > 2 and max(sizes) <= 65536 + 100
