@@ -164,7 +164,7 @@ def _long_log(word: str, index: PieceIndex, table: np.ndarray) -> np.ndarray:
 
 
 def expected_counts(words: list[str], times: np.ndarray, index: PieceIndex, table: np.ndarray) -> np.ndarray:
-    """(pieces, languages): expected uses of each piece in ``words``, ``times`` (words, languages) over; long words are left out."""
+    """(pieces, languages): expected uses of each piece in ``words``, ``times`` (words, languages) over."""
     out = np.zeros((index.size + 2, table.shape[1]))
     for which, codes in _groups(words):
         n, shape = codes.shape[1], (len(which), table.shape[1])
@@ -183,9 +183,60 @@ def expected_counts(words: list[str], times: np.ndarray, index: PieceIndex, tabl
                 way *= alpha[i] * share
                 for c in range(shape[1]):
                     out[:, c] += np.bincount(found, way[:, c], len(out))
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            _long_counts(w, times[i], index, table, out)
     return out[:-2]
 
 
+def _long_counts(word: str, times: np.ndarray, index: PieceIndex, table: np.ndarray, out: np.ndarray, chunk: int = 1 << 12) -> None:
+    """Add the expected counts of a word of any length to ``out``.
+
+    Only ratios of forward values are used, each language with its own: a piece from i to e is used, given that e is a boundary, with
+    probability p * alpha[i] / alpha[e]; from the end backwards this gives every boundary's probability.
+    """
+    width, n, languages = index.longest, len(word), table.shape[1]
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+    def pieces(start: int, end: int) -> np.ndarray:
+        """ids[i, k]: the piece at characters start+i .. start+i+k."""
+        part = codes[start : end + width - 1]
+        ids, h = np.full((end - start, width), index.size, np.int64), np.zeros(len(part), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(min(width, len(part))):
+                h = h[: len(part) - k] * np.uint64(index.BASE) + part[k:]
+                found = index.find(h[: end - start])
+                ids[: len(found), k] = _alone(found, index.size) if k == 0 else found
+        return ids
+
+    # logs[j]: log of alpha[j]; last[k]: alpha[j-1-k] / alpha[j-1].
+    logs, last = np.zeros((n + 1, languages)), np.zeros((width, languages))
+    last[0] = 1
+    back = np.arange(width)
+    for start in range(0, n, chunk):
+        end, lead = min(n, start + chunk), min(start, width - 1)
+        ids = pieces(start - lead, end)
+        for j in range(start, end):
+            k = back[: min(width, j + 1)]
+            total = (table[ids[j - k - start + lead, k]] * last[: len(k)]).sum(axis=0)
+            logs[j + 1] = logs[j] + np.log(total)
+            last[1:] = last[:-1] / total
+            last[0] = 1
+    bound = np.zeros((n + width + 1, languages))
+    bound[n] = 1
+    for start in reversed(range(0, n, chunk)):
+        end = min(n, start + chunk)
+        ids = pieces(start, end)
+        ends = np.minimum(np.arange(start, end)[:, None] + back + 1, n)
+        ways = table[ids]
+        ways *= np.exp(np.where(ways > 0, logs[start:end, None] - logs[ends], 0))
+        for i in range(end - 1, start - 1, -1):
+            ways[i - start] *= bound[i + 1 : i + 1 + width]
+            bound[i] = ways[i - start].sum(axis=0)
+        for c in range(languages):
+            out[:, c] += times[c] * np.bincount(ids.reshape(-1), ways[:, :, c].reshape(-1), len(out))
+
+
 def trainable(id_col: Column) -> Column:
     """Rows that a model may learn from; the others are held out."""
     return F.crc32(id_col.cast("string").cast("binary")) % 4 != 2

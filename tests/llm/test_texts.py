@@ -178,6 +178,20 @@ def test_expected_counts_by_hand():
     np.testing.assert_allclose(langid.expected_counts(["aa"], np.array([[4.0]]), index, table)[:, 0], [4, 2])
 
 
+def test_long_words_take_part_in_fitting(monkeypatch):
+    rng = np.random.default_rng(3)
+    index, table = langid.PieceIndex(["a", "b", "ab", "bba"]), np.vstack([rng.random((4, 2)), np.zeros((1, 2)), np.full((1, 2), 1e-3)])
+    w = "".join(rng.choice(["a", "b", "x"], 40))
+    got = langid.expected_counts([w], np.array([[2.0, 3.0]]), index, table)
+    small = np.zeros((6, 2))
+    langid._long_counts(w, np.array([2.0, 3.0]), index, table, small, chunk=7)
+    monkeypatch.setattr(langid, "LONG", 100)
+    expected = langid.expected_counts([w], np.array([[2.0, 3.0]]), index, table)
+    np.testing.assert_allclose(got, expected, rtol=1e-9)
+    np.testing.assert_allclose(small[:-2], expected, rtol=1e-9)
+    assert expected.sum() > 20
+
+
 def test_language_edges(spark, sf, fitted):
     rows = sorted((r["doc_id"] or 0, r["lang_pred"], r["score"]) for r in langid.predict(odd(spark).drop("lang"), fitted).collect())
     assert [r[1] for r in rows if r[0] in (0, 1, 2, 3)] == ["und"] * 4 and all(r[1] != "und" for r in rows if r[0] > 3) and all(0 <= r[2] <= 1 for r in rows)
