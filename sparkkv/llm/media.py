@@ -145,8 +145,8 @@ def read_npy(data: bytes) -> Iterator[np.ndarray]:
 TILE_SCHEMA = "id long, format string, height long, width long, top long, left long, npy binary, tile_hash string, image_hash string"
 
 
-def media_tiles(images: DataFrame, id_col: str, data_col: str, tile_rows: int = TILE_ROWS, tile_columns: int | None = None) -> DataFrame:
-    """``TILE_SCHEMA`` rows: one for each tile; one without a tile for what can't be decoded."""
+def media_tiles(images: DataFrame, id_col: str, data_col: str, tile_rows: int = TILE_ROWS, tile_columns: int | None = None, height: int | None = None, width: int | None = None) -> DataFrame:
+    """``TILE_SCHEMA`` rows: one for each tile; one without a tile for what can't be decoded. With ``height`` or ``width`` images are resized to it first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in TILE_SCHEMA.split(", ")]
@@ -156,6 +156,8 @@ def media_tiles(images: DataFrame, id_col: str, data_col: str, tile_rows: int =
                 id_, data = id_.as_py(), data.as_py()
                 try:
                     image = decode_image(data or b"")
+                    if height or width:
+                        image = np.rint(area_resize(image, height or image.shape[0], width or image.shape[1])).astype(np.uint8)
                     whole = difference_hash(image)
                     found = [(id_, image_format(data), *image.shape[:2], top, left, npy, difference_hash(next(read_npy(npy))), whole) for top, left, npy in npy_tiles(image, tile_rows, tile_columns)]
                 except ValueError:

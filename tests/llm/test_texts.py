@@ -349,3 +349,11 @@ def test_tiles(spark):
             back[r["top"] : r["top"] + tile.shape[0], r["left"] : r["left"] + tile.shape[1]] = tile
     assert (back == image).all() and sum(r["id"] == 1 for r in got) == 6
     assert {(r["id"], r["format"]) for r in got} == {(1, "pgm"), (2, "bad"), (3, None)}
+
+
+def test_resized_tiles(spark):
+    image = np.arange(70, dtype=np.uint8).reshape(10, 7)
+    rows = spark.createDataFrame([(1, bytearray(b"P5\n7 10\n255\n" + image.tobytes()))], "i long, b binary")
+    r = media.media_tiles(rows, "i", "b", height=5, width=3).collect()
+    assert len(r) == 1 and (r[0]["height"], r[0]["width"]) == (5, 3)
+    assert (next(media.read_npy(bytes(r[0]["npy"]))) == np.rint(media.area_resize(image, 5, 3))).all()
