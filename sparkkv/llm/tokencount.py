@@ -6,7 +6,9 @@ visited from left to right, pieces from short to long, and a later path replaces
 the one whose last piece starts first wins; a character that is no piece of its own takes the unknown score (10 below the
 smallest). With byte fallback such a character counts as its UTF-8 bytes.
 
-The vocabulary is a public one, read from its file with the scores it has there (path is a parameter; nothing is trained). White space
+The vocabulary is a public one, read from its file with the scores it has there (path is a parameter; nothing is trained). No public unigram
+vocabulary is installed: the file is that of a BPE model, whose scores order its merges and are no log-probabilities. They are read as
+unigram scores, so counts differ from those of the file's own tokenizer; they equal those of a unigram tokenizer built from it. White space
 is handled as the tokenizers do: a space becomes the mark, one is put in front, and pieces don't cross a mark. So distinct words
 are segmented once in a batch (Arrow's dictionary) and remembered, in bounded number. Rows are independent: no shuffle.
 
