@@ -1,6 +1,7 @@
 """Operator 5, n-gram Jaccard join: exact, by set relations (index-level and answer-level skipping).
 
-Texts become sets of hashed word shingles (64 bits; hashes stand for the shingles). Equal sets are one node from then on. Then:
+Texts become sets of hashed word shingles (64 bits; hashes stand for the shingles). Equal sets are one node from then on, whatever their
+doc_ids: a node's id is a hash of the set's digest, checked to be its own. Then:
 
 1. Leaders. Sets that share a MinHash band are compared with the smallest id of their band only (a star, not all pairs). Verified links put
    most near copies into components at a cost that grows with the rows, not with the squares of the groups.
@@ -8,30 +9,32 @@ Texts become sets of hashed word shingles (64 bits; hashes stand for the shingle
    shingle in their prefixes, whatever the order. The order comes from a frequency sketch over all documents, so shared passages and
    common phrases go last. Sets of one component have their answers already; a list whose sets are all in one component is
    skipped as a whole. Lists are ordered by size and position, and cut into blocks: a pair of blocks is skipped if its extreme sizes and
-   positions rule every pair out.
+   positions rule every pair out. A list of more than ``LONG_LIST`` sets is no task's: its blocks are rows, ordered by component, and so are the
+   pairs of blocks that the sizes, positions and components don't rule out.
 3. Answers. What is left is pairs of sets from different components. A set is first compared with the *leader* of the other's
    component. By the triangle inequality of the Jaccard distance, the answers for the leader's verified members follow: some are
    links, some can't be, and only the rest are compared.
 
 Step 1 may miss any number of links without changing the result: steps 2 and 3 are complete for pairs in different components, and
-inside a component every set is reachable already. No list, bucket or group is capped. Nothing but counts, checksums and the
+inside a component every set is reachable already. Last, sets of one doc_id are linked, and a component reports its smallest doc_id. No list, bucket or group is capped. Nothing but counts, checksums and the
 sketch (of fixed size) reaches the driver.
 
 Defined results: a null or empty text, or one without words, has an empty set, size 0, and is linked with nothing; fewer words than a
-shingle form one; rows with the same doc_id are one node (each row reports its own size); a null doc_id is linked with nothing and has a null
-component; an empty table gives an empty result; only doc_id and text are read.
+shingle form one; rows with the same doc_id are one document, linked with whatever any of its texts is linked with (each row reports its own size and
+the same component, and the result has as many rows as the input); a null doc_id is linked with nothing and has a null component; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkkv.llm.common import map_arrow, saved, table
+from sparkkv.llm.common import map_arrow, prefix_sums, root_buckets, saved, table
 from sparkkv.llm.graph import components
 from sparkkv.llm.pieces import slices, split_words
 
@@ -45,6 +48,8 @@ SKETCH_BITS = 23
 BROADCAST_IDS = 2_000_000
 #: Lists up to this length are compared lag by lag; longer ones block by block.
 SHORT_LIST, BLOCK = 48, 256
+#: Longer lists than this are split over tasks.
+LONG_LIST = 1024
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,6 +100,19 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and 128-bit digest (n, low, high) of every set."""
+    with np.errstate(over="ignore"):
+        low = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+        high = np.array([(_mix(s * _M)).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return [pa.array(np.array([len(s) for s in sets], np.int64)), _long(low), _long(high)]
+
+
+def node_id(seed: int) -> Column:
+    """A set's id, from its digest."""
+    return F.xxhash64(F.lit(seed), "n", "low", "high")
+
+
 def digests(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     """Rows (doc_id, n, low, high): size and 128-bit digest of every set; and rows (slot, counts) with parts of a task's frequency sketch."""
     block = 1 << 16
@@ -112,16 +130,12 @@ def digests(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
         for batch in batches:
             for start, texts in slices(batch.column(1)):
                 sets = shingle_sets(texts)
-                n = np.array([len(s) for s in sets], np.int64)
-                with np.errstate(over="ignore"):
-                    low = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                    high = np.array([(_mix(s * _M)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 held.append((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.uint32))
                 size += len(held[-1])
                 if size > 1 << 20:
                     counts, held, size = fold(), [], 0
                 ids = batch.column(0).slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), _long(low), _long(high), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids, *_digests(sets), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names)
         if held or len(counts):
             counts = fold() if held else counts
             for i in range(0, len(counts), block):
@@ -129,7 +143,7 @@ def digests(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                 if part.any():
                     yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([i // block], pa.int64()), pa.array([part.tobytes()], pa.binary())], names)
 
-    return map_arrow(_texts(docs), run, "doc_id long, n long, low long, high long, slot long, counts binary")
+    return map_arrow(docs, run, "doc_id long, n long, low long, high long, slot long, counts binary")
 
 
 def frequency_classes(parts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -159,21 +173,19 @@ def frequency_classes(parts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, classes: np.ndarray, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n, bands, prefix): MinHash band keys and the index prefix, rarest shingles first, of every set that isn't empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** bits bytes
+def prefixes(texts: DataFrame, classes: np.ndarray, seed: int, bits: int = SKETCH_BITS) -> DataFrame:
+    """(node, n, bands, prefix): MinHash band keys and the index prefix, rarest shingles first, of every set that isn't empty."""
+    sent = texts.sparkSession.sparkContext.broadcast(classes)  # 2 ** bits bytes
     rng = np.random.default_rng(5)
     factors = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
-                ids = batch.column(0).slice(start, len(texts)).to_pylist()
-                rows, bands, heads = [], [], []
-                for doc, s in zip(ids, shingle_sets(texts), strict=True):
-                    if not len(s):
-                        continue
+            for _, part in slices(batch.column(1)):
+                sets = [s for s in shingle_sets(part) if len(s)]
+                bands, heads = [], []
+                for s in sets:
                     n = len(s)
                     with np.errstate(over="ignore"):
                         least = np.array([(s * f).min() for f in factors], np.uint64)
@@ -181,14 +193,14 @@ def prefixes(docs: DataFrame, classes: np.ndarray, bits: int = SKETCH_BITS) -> D
                         for r in range(ROWS):
                             keys = _mix(keys * _M + least[r * BANDS : (r + 1) * BANDS])
                     order = np.argsort(rank[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
-                    rows.append((doc, n))
                     bands.append(keys)
                     heads.append(s[order[: n - (UP * n + DOWN - 1) // DOWN + 1]])
-                if rows:
+                if sets:
                     lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32)), _long(np.concatenate(c))) for c in (bands, heads)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *lists], ["doc_id", "n", "bands", "prefix"])
+                    yield pa.RecordBatch.from_arrays([*_digests(sets), *lists], ["n", "low", "high", "bands", "prefix"])
 
-    return map_arrow(_texts(docs), run, "doc_id long, n long, bands array<long>, prefix array<long>")
+    found = map_arrow(texts, run, "n long, low long, high long, bands array<long>, prefix array<long>")
+    return found.select(node_id(seed).alias("node"), "n", "bands", "prefix")
 
 
 def among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -197,17 +209,17 @@ def among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
 
 
-def stored_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, set): the shingle hashes of the texts of ``ids``."""
+def stored_sets(texts: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
+    """(node, set): the shingle hashes of the texts of the documents ``ids`` (doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "set"])
+            for _, part in slices(batch.column(1)):
+                sets = [s for s in shingle_sets(part) if len(s)]
+                yield pa.RecordBatch.from_arrays([*_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "low", "high", "set"])
 
-    found = map_arrow(among(_texts(docs), ids, "left_semi"), run, "doc_id long, set binary")
-    return saved(found, "sets")
+    found = map_arrow(among(texts, ids, "left_semi"), run, "n long, low long, high long, set binary")
+    return found.select(node_id(seed).alias("node"), "set")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,8 +236,8 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in zip(*out, strict=True)]], ["a", "b", "na", "nb", "both"])
 
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    rows = rows.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
     return map_arrow(rows, run, "a long, b long, na long, nb long, both long")
 
 
@@ -236,19 +248,40 @@ DISTANCE = "1 - both / (na + nb - both)"
 
 def band_pairs(index: DataFrame) -> DataFrame:
     """(a, b): each set with the smallest id among those that share a band, if their sizes allow a link."""
-    keys = index.select("doc_id", "n", F.explode("bands").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    rows = keys.join(leaders.select("key", F.col("first.doc_id").alias("a"), F.col("first.n").alias("na")), "key")
-    return rows.where(f"doc_id != a AND least(n, na) * {DOWN} >= greatest(n, na) * {UP}").select("a", F.col("doc_id").alias("b")).distinct()
+    keys = index.select("node", "n", F.explode("bands").alias("key"))
+    leaders = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    rows = keys.join(leaders.select("key", F.col("first.node").alias("a"), F.col("first.n").alias("na")), "key")
+    return rows.where(f"node != a AND least(n, na) * {DOWN} >= greatest(n, na) * {UP}").select("a", F.col("node").alias("b")).distinct()
+
+
+def _allowed(n1: np.ndarray, n2: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """Whether sizes and positions allow a link."""
+    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
+    need = -(-UP * (n1 + n2) // (UP + DOWN))
+    return (small * DOWN >= large * UP) & (np.minimum(n1 - p1, n2 - p2) >= need)
+
+
+def _packed(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if found:
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        if len(both):
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def _between(one: tuple, two: tuple, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of two blocks (id, n, pos, component) of a list, or of one and ``same``."""
+    (i, n, p, c), (j, m, q, d) = one, two
+    ok = _allowed(n[:, None], m[None], p[:, None], q[None]) & (c[:, None] != d[None]) & (i[:, None] != j[None])
+    x, y = np.nonzero(np.triu(ok, 1) if same else ok)
+    return i[x], j[y]
 
 
 def listed_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b) from index ``entries`` (token, id, n, pos, component) that can be links: different components, sizes and positions allow it."""
+    """(a, b) from index ``entries`` (token, id, n, pos, component) that can be links: different components, sizes and positions allow it.
 
-    def allowed(n1, n2, p1, p2):
-        small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-        need = -(-UP * (n1 + n2) // (UP + DOWN))
-        return (small * DOWN >= large * UP) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
+    A task holds one list at a time; longer lists than ``LONG_LIST`` are left to ``split_pairs``.
+    """
 
     def lagged(t, i, n, p, c) -> Iterator[tuple]:
         for lag in range(1, SHORT_LIST):
@@ -257,26 +290,22 @@ def listed_pairs(entries: DataFrame) -> DataFrame:
                 return
             at = np.flatnonzero(same)
             x, y = at, at + lag
-            keep = (c[x] != c[y]) & (i[x] != i[y]) & allowed(n[x], n[y], p[x], p[y])
+            keep = (c[x] != c[y]) & (i[x] != i[y]) & _allowed(n[x], n[y], p[x], p[y])
             yield i[x[keep]], i[y[keep]]
 
     def blocked(i, n, p, c) -> Iterator[tuple]:
         """One list, ordered by size and position."""
-        starts = range(0, len(i), BLOCK)
-        cut = [slice(s, s + BLOCK) for s in starts]
+        cut = [slice(s, s + BLOCK) for s in range(0, len(i), BLOCK)]
         low, high = np.array([n[s].min() for s in cut]), np.array([n[s].max() for s in cut])
         rest = np.array([(n[s] - p[s]).max() for s in cut])
-        one = np.array([c[s][0] if (c[s] == c[s][0]).all() else -1 for s in cut])
+        one, whole = np.array([c[s][0] for s in cut]), np.array([(c[s] == c[s][0]).all() for s in cut])
         for u in range(len(cut)):
             for v in range(u, len(cut)):
                 if low[v] * UP > high[u] * DOWN:
                     break  # later blocks hold larger sets still
-                if min(rest[u], rest[v]) < -(-UP * (low[u] + low[v]) // (UP + DOWN)) or one[u] == one[v] != -1:
+                if min(rest[u], rest[v]) < -(-UP * (low[u] + low[v]) // (UP + DOWN)) or (whole[u] and whole[v] and one[u] == one[v]):
                     continue
-                a, b = cut[u], cut[v]
-                ok = allowed(n[a][:, None], n[b][None], p[a][:, None], p[b][None]) & (c[a][:, None] != c[b][None]) & (i[a][:, None] != i[b][None])
-                x, y = np.nonzero(np.triu(ok, 1) if u == v else ok)
-                yield i[a][x], i[b][y]
+                yield _between(*[(i[s], n[s], p[s], c[s]) for s in (cut[u], cut[v])], u == v)
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t, i, n, p, c = columns
@@ -287,16 +316,9 @@ def listed_pairs(entries: DataFrame) -> DataFrame:
         for s, m in zip(first[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True):
             found += blocked(i[s : s + m], n[s : s + m], p[s : s + m], c[s : s + m])
             if sum(len(x) for x, _ in found) > 1 << 20:
-                yield from packed(found)
+                yield from _packed(found)
                 found = []
-        yield from packed(found)
-
-    def packed(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if found:
-            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-            if len(both):
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        yield from _packed(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -314,58 +336,136 @@ def listed_pairs(entries: DataFrame) -> DataFrame:
         if held:
             yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return map_arrow(entries, run, "a long, b long").distinct()
+    entries = entries.select("token", "node", "n", "pos", "component").repartition("token").sortWithinPartitions("token", "n", "pos")
+    return map_arrow(entries, run, "a long, b long")
+
+
+def split_pairs(entries: DataFrame) -> DataFrame:
+    """As ``listed_pairs``, for lists of any length: blocks, and pairs of blocks, are rows.
+
+    Blocks follow the components' order, so that those inside a large component pair with the others only. A large component's entries are dealt to
+    its blocks by hash; a block holds about ``BLOCK`` to three times as many entries.
+    """
+    cells = entries.groupBy("token", "component").agg(F.count("*").alias("m"))
+    # Components are hashes, so their leading bits cut a list evenly.
+    bits = root_buckets(entries.count()).bit_length()
+    cells = cells.withColumn("part", F.shiftright("component", 64 - bits))
+    cells = prefix_sums(cells, ["token"], "part", ["component"], {"start": "m"}).select("token", "component", "m", "start")
+    rows = entries.join(cells, ["token", "component"])
+    block = F.floor(F.col("start") / BLOCK) + F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64(F.lit("block"), "node"), F.ceil(F.col("m") / BLOCK))).otherwise(0)
+    rows = rows.withColumn("block", block.cast("long"))
+    names = ["node", "n", "pos", "component"]
+    blocks = rows.groupBy("token", "block").agg(
+        F.collect_list(F.struct("node", "n", F.col("pos").cast("long").alias("pos"), "component")).alias("it"),
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("component").alias("c0"), F.max("component").alias("c1"),
+    )
+    blocks = saved(blocks.select("token", "block", "low", "high", "rest", "c0", "c1", *[F.col(f"it.{c}").alias(c) for c in names]), "list-blocks")
+    stats = blocks.select("token", "block", "low", "high", "rest", "c0", "c1")
+    one, two = stats.alias("x"), stats.select(*[F.col(c) if c == "token" else F.col(c).alias(f"{c}_") for c in stats.columns])
+    pairs = one.join(two, "token").where("block <= block_")
+    pairs = pairs.where(f"low_ * {UP} <= high * {DOWN} AND low * {UP} <= high_ * {DOWN} AND least(rest, rest_) * {UP + DOWN} >= (low + low_) * {UP} AND NOT (c0 = c1 AND c0_ = c1_ AND c0 = c0_)")
+    pairs = saved(pairs.select("token", "block", "block_"), "block-pairs")
+    content = blocks.select("token", "block", *names)
+    wide = pairs.join(content, ["token", "block"]).join(content.select("token", F.col("block").alias("block_"), *[F.col(c).alias(f"{c}_") for c in names]), ["token", "block_"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = [np.asarray(batch.column(c)[k].values, np.int64) for c in range(1, 9)]
+                yield from _packed([_between(tuple(x[:4]), tuple(x[4:]), batch.column(0)[k].as_py())])
+
+    wide = wide.select((F.col("block") == F.col("block_")).alias("same"), *names, *[f"{c}_" for c in names])
+    return map_arrow(wide, run, "a long, b long")
+
+
+def sets_of(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(node, n, first, copies) of the distinct sets of ``rows`` (doc_id, n, low, high), with the seed under which every set's id is its own."""
+    for seed in itertools.count():
+        made = rows.groupBy(node_id(seed).alias("node")).agg(
+            F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[f(c).alias(f"{c}{k}") for c in ("n", "low", "high") for k, f in enumerate((F.min, F.max))]
+        )
+        groups = saved(made, "groups")
+        if not groups.where("n0 != n1 OR low0 != low1 OR high0 != high1").limit(1).count():
+            return groups.select("node", "first", "copies"), seed
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
-    passed = saved(digests(docs), "digests")
+    texts = _texts(docs)
+    passed = saved(digests(texts), "digests")
     classes = frequency_classes(passed.where("slot IS NOT NULL"))
-    rows = passed.where("slot IS NULL").select("doc_id", "n", "low", "high")
-    groups = saved(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "low", "high").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "groups")
-    # The representatives of equal sets; other rows of their groups are left out of all that follows.
-    copies = rows.join(groups.where("copies > 1"), ["n", "low", "high"]).where("doc_id != node").select("doc_id", "node").distinct()
-    copies = saved(copies, "copies")
-    nodes = among(docs.where("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "left_anti")
-    index = saved(prefixes(nodes, classes), "index")
+    whole = passed.where("slot IS NULL").select("doc_id", "n", "low", "high")
+    groups, seed = sets_of(whole.where("n > 0 AND doc_id IS NOT NULL"))
+    rows = whole.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", node_id(seed).alias("node"))
+    # Ids with several rows: usually none. ``node0`` and ``node1`` differ where they have different sets.
+    named = whole.where("doc_id IS NOT NULL").withColumn("node", F.when(F.col("n") > 0, node_id(seed)))
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("m"), F.min("node").alias("node0"), F.max("node").alias("node1")).where("m > 1")
+    repeated = saved(repeated.select("doc_id", "node0", "node1"), "repeated")
+    again = repeated.limit(1).count() > 0
+
+    # A document all of whose sets are another's is left out of all that follows.
+    skipped = rows.join(groups.where("copies > 1"), "node").where("doc_id != first").select("doc_id").distinct()
+    if again:
+        skipped = skipped.join(groups.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    texts = among(texts.where("doc_id IS NOT NULL"), saved(skipped, "skipped"), "left_anti")
+    once = lambda df: df
+    if again:
+        ids = repeated.select("doc_id")
+        texts = among(texts, ids, "left_anti").union(saved(among(texts, ids, "left_semi").distinct(), "repeated-texts"))
+        once = lambda df: df.dropDuplicates(["node"])
+    index = saved(once(prefixes(texts, classes, seed)), "index")
+
+    def sets_for(nodes: DataFrame) -> DataFrame:
+        ids = saved(nodes.distinct().join(groups, "node").select(F.col("first").alias("doc_id")).distinct(), "asked-ids")
+        return saved(once(stored_sets(texts, ids, seed)), "sets")
 
     pairs = saved(band_pairs(index), "band-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    stars = saved(compared(pairs, stored_sets(nodes, ids)).where(IS_LINK).withColumn("far", F.expr(DISTANCE)), "star-links")
+    sets = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+    stars = saved(compared(pairs, sets).where(IS_LINK).withColumn("far", F.expr(DISTANCE)), "star-links")
     grouped = saved(components(stars), "star-components")
 
     known = grouped.count() <= BROADCAST_IDS
-    entries = index.select("doc_id", "n", "prefix").join((F.broadcast if known else (lambda x: x))(grouped.withColumnRenamed("id", "doc_id")), "doc_id", "left")
-    entries = entries.select("doc_id", "n", F.coalesce("root", "doc_id").alias("component"), F.posexplode("prefix").alias("pos", "token"))
+    entries = index.select("node", "n", "prefix").join((F.broadcast if known else (lambda x: x))(grouped.withColumnRenamed("id", "node")), "node", "left")
+    entries = entries.select("node", "n", F.coalesce("root", "node").alias("component"), F.posexplode("prefix").alias("pos", "token"))
     # Lists whose sets are all in one component, most of them of one set, are skipped before anything is compared.
-    mixed = entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
+    mixed = entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 != c1").select("token", "m")
     mixed = saved(mixed, "mixed-tokens")
-    few = mixed.count() <= BROADCAST_IDS
-    entries = entries.join(F.broadcast(mixed) if few else mixed, "token", "left_semi").select("token", "doc_id", "n", "pos", "component")
-    entries = entries.repartition("token").sortWithinPartitions("token", "n", "pos")
-    pairs = saved(listed_pairs(entries), "list-pairs")
+    few, some_long = mixed.agg(F.count("*") <= BROADCAST_IDS, F.coalesce(F.max("m") > LONG_LIST, F.lit(False))).first()
+    entries = entries.join(F.broadcast(mixed) if few else mixed, "token").select("token", "node", "n", "pos", "component", "m")
+    found = listed_pairs(entries.where(f"m <= {LONG_LIST}"))
+    if some_long:
+        found = found.union(split_pairs(saved(entries.where(f"m > {LONG_LIST}").drop("m"), "long-lists")))
+    pairs = saved(found.distinct(), "list-pairs")
 
     links = stars.select("a", "b")
-    if pairs.count():
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    if pairs.limit(1).count():
         # A set's leader is the one that it was verified against first: the smallest; its own for one without.
         leader = stars.select("a", "b", "far").union(stars.select("a", F.col("a").alias("b"), F.lit(0.0)))
         leader = saved(leader.groupBy("b").agg(F.min(F.struct("a", "far")).alias("l")).select(F.col("b").alias("id"), "l.a", "l.far"), "leaders")
         lead = F.coalesce(F.col("l.a"), F.col("b")).alias("x")
         asked = pairs.join(leader.alias("l"), pairs["b"] == F.col("l.id"), "left").select(pairs["a"], pairs["b"], lead, F.coalesce("l.far", F.lit(0.0)).alias("far"))
         asked = saved(asked, "asked")
-        ids = ids.union(asked.select(F.col("x").alias("doc_id"))).distinct()
-        sets = stored_sets(nodes, saved(ids, "asked-ids"))
+        sets = sets_for(asked.select(F.explode(F.array("a", "b", "x")).alias("node")))
         answers = compared(asked.select("a", F.col("x").alias("b")).distinct(), sets)
         answers = saved(answers.select("a", F.col("b").alias("x"), F.expr(IS_LINK).alias("is_link"), F.expr(DISTANCE).alias("to_leader")), "answers")
         links = links.union(answers.where("is_link").select("a", F.col("x").alias("b")))
         # Derived answers: |far - to_leader| <= distance <= far + to_leader; a link has a distance of at most 1 / 4.
         open_ = asked.where("x != b").join(answers.where("NOT is_link"), ["a", "x"]).where(f"abs(far - to_leader) <= {1 - UP / DOWN} + 1e-9")
         links = links.union(compared(open_.select("a", "b"), sets).where(IS_LINK).select("a", "b"))
-    final = components(links)
-    node = rows.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
-    out = node.join(final.withColumnRenamed("id", "node"), "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
+    several = repeated.where("node0 != node1")
+    if again:
+        links = links.union(rows.join(several, "doc_id").where("node != node0").select(F.col("node0").alias("a"), F.col("node").alias("b")).distinct())
+    final = components(links).select(F.col("id").alias("node"), "root")
+
+    # The smallest doc_id of each component; a set that is alone and has one document needs none.
+    joint = saved(groups.join(final, "node", "left").where("copies > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "first"), "joint")
+    answer = joint.join(joint.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    out = rows.join(answer, "node", "left").select("doc_id", "n", "component_id")
+    rest = whole.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component_id"))
+    if again:  # an empty text beside another of the same id
+        told = repeated.where("node0 IS NOT NULL").join(answer, F.col("node0") == F.col("node")).select("doc_id", "component_id")
+        rest = rest.drop("component_id").join(told, "doc_id", "left").select("doc_id", "n", "component_id")
+    return out.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_relations(spark: SparkSession, sf_dir: str) -> DataFrame:

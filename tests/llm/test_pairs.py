@@ -51,6 +51,18 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def documents_by_hand(rows):
+    """Sorted [(doc_id, n, component)] for rows (doc_id, text) whose ids may repeat."""
+    sets = [shingles(t) for _, t in rows]
+    u = Union({i for i, _ in rows})
+    for k, (a, _) in enumerate(rows):
+        for m in range(k):
+            both = len(sets[k] & sets[m])
+            if both and 100 * both >= 75 * (len(sets[k]) + len(sets[m]) - both):
+                u.join(a, rows[m][0])
+    return sorted((i, len(s), u.find(i)) for (i, _), s in zip(rows, sets, strict=True))
+
+
 def jaccard_by_hand(rows):
     """{doc_id: (n, component)} for unique ids."""
     sets = {i: shingles(t) for i, t in rows}
@@ -93,8 +105,45 @@ def test_jaccard_by_brute_force(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_by_hand(rows)
 
 
-def test_jaccard_without_leaders(spark, monkeypatch):
-    """The index alone finds every link, with lists that are compared block by block."""
+def documents(spark, rows):
+    got = jaccard.near_components(docs_of(spark, [(i, t, None, None) for i, t in rows])).collect()
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got)
+
+
+_W = [f"x{i}" for i in range(60)]
+_A, _B = " ".join(_W[:20]), " ".join(_W[20:40])
+_C = " ".join(_W[40:60])
+_D = " ".join(_W[40:59])
+
+
+@pytest.mark.parametrize("rows", [
+    [(3, _A), (5, _A), (5, _B), (7, _B), (4, _B)],
+    [(3, _A), (5, _A), (5, _B), (7, _B)],
+    [(3, _A), (5, _A), (5, _C), (7, _D)],
+    [(5, _A), (5, _A), (5, ""), (2, ""), (9, _A.upper()), (5, None), (2, None), (8, _C), (8, _C.upper()), (9, _D)],
+    [(1, _B), (2, _B), (2, _A), (2, _A), (3, _C), (3, ""), (4, "x0"), (4, "x1"), (6, "x1")],
+])
+def test_an_id_with_several_texts(spark, rows):
+    assert documents(spark, rows) == documents_by_hand(rows)
+
+
+def test_repeated_ids_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(150), t) for _, t in made(4, 200)]
+    assert documents(spark, rows) == documents_by_hand(rows)
+
+
+def test_set_ids_that_collide_are_made_anew(spark, monkeypatch):
+    real_id = jaccard.node_id
+    monkeypatch.setattr(jaccard, "node_id", lambda seed: real_id(seed) if seed else F.col("n"))
+    rows = [(1, _A), (2, _B), (3, _A), (4, _C), (5, _D)]
+    assert documents(spark, rows) == documents_by_hand(rows)
+
+
+@pytest.mark.parametrize("long", [4, 10**9])
+def test_jaccard_without_leaders(spark, monkeypatch, long):
+    """The index alone finds every link, with lists that are compared block by block, in one task or split."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", long)
     monkeypatch.setattr(jaccard, "band_pairs", lambda index: index.sparkSession.createDataFrame([], "a long, b long"))
     monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
     monkeypatch.setattr(jaccard, "BLOCK", 3)
@@ -123,7 +172,7 @@ def test_jaccard_edges(spark):
     t = "one two three four five six"
     got = jaccard.near_components(docs_of(spark, [(None, t, None, None), (3, t, None, None), (3, t, None, None), (2, t, None, None), (None, None, None, None), (5, "x " * 50_000, None, None)])).collect()
     assert sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in got if r["doc_id"]) == [(2, 2, 2), (3, 2, 2), (3, 2, 2), (5, 1, 5)]
-    assert [(r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None].sort() == [(2, None), (0, None)].sort()
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None) == [(0, None), (2, None)]
 
 
 # Embeddings ----------------------------------------------------------------------------------------------------------------------
