@@ -1,4 +1,7 @@
-"""Connected components of a distributed edge list (large-star and small-star rounds)."""
+"""Connected components of a distributed edge list (large-star and small-star rounds), and their smallest ids.
+
+Operators 5 and 8 number distinct contents (nodes) by a hash; rows (id, node) tell which contents an id has, usually one.
+"""
 
 from __future__ import annotations
 
@@ -35,3 +38,28 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("id"), F.col("v").alias("root")))
+
+
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """(id, node0, node1) of the ids of ``rows`` (id, node) with several rows: their smallest and largest node, which differ if they have different contents."""
+    found = rows.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m"), F.min("node").alias("node0"), F.max("node").alias("node1"))
+    return saved(found.where("m > 1").select("id", "node0", "node1"), "repeated")
+
+
+def same_id_links(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(a, b): the nodes of each repeated id, linked with the smallest."""
+    several = repeated.where("node0 != node1")
+    return rows.join(several, "id").where("node != node0").select(F.col("node0").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def smallest_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) of the ``nodes`` (node, first, copies) that have copies or are in ``roots`` (id, root): the smallest id of the component."""
+    joint = nodes.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").where("copies > 1 OR root IS NOT NULL")
+    joint = saved(joint.select("node", F.coalesce("root", "node").alias("root"), "first"), "joint")
+    return joint.join(joint.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+
+
+def empty_rows(rows: DataFrame, repeated: DataFrame, answer: DataFrame) -> DataFrame:
+    """``rows`` (id, ..) without a node, with the component_id of the other rows of their id, if there are any."""
+    told = repeated.where("node0 IS NOT NULL").join(answer, repeated["node0"] == answer["node"]).select("id", "component_id")
+    return rows.join(told, "id", "left")

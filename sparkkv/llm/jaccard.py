@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkkv.llm.common import map_arrow, prefix_sums, root_buckets, saved, table
-from sparkkv.llm.graph import components
+from sparkkv.llm.graph import components, empty_rows, repeated_ids, same_id_links, smallest_ids
 from sparkkv.llm.pieces import slices, split_words
 
 WORDS = 5
@@ -397,10 +397,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     whole = passed.where("slot IS NULL").select("doc_id", "n", "low", "high")
     groups, seed = sets_of(whole.where("n > 0 AND doc_id IS NOT NULL"))
     rows = whole.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", node_id(seed).alias("node"))
-    # Ids with several rows: usually none. ``node0`` and ``node1`` differ where they have different sets.
-    named = whole.where("doc_id IS NOT NULL").withColumn("node", F.when(F.col("n") > 0, node_id(seed)))
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("m"), F.min("node").alias("node0"), F.max("node").alias("node1")).where("m > 1")
-    repeated = saved(repeated.select("doc_id", "node0", "node1"), "repeated")
+    # Ids with several rows: usually none.
+    named = whole.select(F.col("doc_id").alias("id"), F.when(F.col("n") > 0, node_id(seed)).alias("node"))
+    repeated = repeated_ids(named)
     again = repeated.limit(1).count() > 0
 
     # A document all of whose sets are another's is left out of all that follows.
@@ -410,7 +409,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     texts = among(texts.where("doc_id IS NOT NULL"), saved(skipped, "skipped"), "left_anti")
     once = lambda df: df
     if again:
-        ids = repeated.select("doc_id")
+        ids = repeated.select(F.col("id").alias("doc_id"))
         texts = among(texts, ids, "left_anti").union(saved(among(texts, ids, "left_semi").distinct(), "repeated-texts"))
         once = lambda df: df.dropDuplicates(["node"])
     index = saved(once(prefixes(texts, classes, seed)), "index")
@@ -452,20 +451,13 @@ def near_components(docs: DataFrame) -> DataFrame:
         # Derived answers: |far - to_leader| <= distance <= far + to_leader; a link has a distance of at most 1 / 4.
         open_ = asked.where("x != b").join(answers.where("NOT is_link"), ["a", "x"]).where(f"abs(far - to_leader) <= {1 - UP / DOWN} + 1e-9")
         links = links.union(compared(open_.select("a", "b"), sets).where(IS_LINK).select("a", "b"))
-    several = repeated.where("node0 != node1")
     if again:
-        links = links.union(rows.join(several, "doc_id").where("node != node0").select(F.col("node0").alias("a"), F.col("node").alias("b")).distinct())
-    final = components(links).select(F.col("id").alias("node"), "root")
-
-    # The smallest doc_id of each component; a set that is alone and has one document needs none.
-    joint = saved(groups.join(final, "node", "left").where("copies > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "first"), "joint")
-    answer = joint.join(joint.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+        links = links.union(same_id_links(named, repeated))
+    answer = smallest_ids(groups, components(links))
     out = rows.join(answer, "node", "left").select("doc_id", "n", "component_id")
-    rest = whole.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component_id"))
-    if again:  # an empty text beside another of the same id
-        told = repeated.where("node0 IS NOT NULL").join(answer, F.col("node0") == F.col("node")).select("doc_id", "component_id")
-        rest = rest.drop("component_id").join(told, "doc_id", "left").select("doc_id", "n", "component_id")
-    return out.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rest = whole.where("n = 0 OR doc_id IS NULL").select(F.col("doc_id").alias("id"), "n")
+    rest = empty_rows(rest, repeated, answer) if again else rest.withColumn("component_id", F.lit(None).cast("long"))
+    return out.union(rest.select("id", "n", "component_id")).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_relations(spark: SparkSession, sf_dir: str) -> DataFrame:

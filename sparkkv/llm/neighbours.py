@@ -1,6 +1,7 @@
 """Operator 8, embedding near-dedup: NN-descent.
 
-1. Equal vectors of a label are one node with a count. Vectors are normalised in double precision.
+1. Equal vectors of a label are one node with a count; its id is a hash of label and vector, checked to be its own. Vectors are normalised in double
+   precision.
 2. A forest of random hyperplane trees gives first neighbour lists: all pairs inside a leaf (in windows along a projection, so that
    a leaf of any size is worked off in bounded memory).
 3. Descent: the neighbours of a node, forward and reverse, are compared with each other, and each keeps the best; again until the lists stop
@@ -15,26 +16,31 @@
    are compared block by block, so that every vector's number of links is counted without a row for a pair. Block pairs whose centres and radii
    decide all their pairs at once (all links, or none) are counted without being compared.
 
+Pairs of blocks are made by number (block i with each later j), so they are spread over tasks however large a component is. A component that isn't tight
+still costs the square of its size in arithmetic.
+
 Rows are never dropped or capped. The driver sees counts, the audit's vectors (``AUDITED``, or twice the root of the nodes), no links.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components, or whose label or vec_id is null, is linked with
 nothing (n_links 0; its component is its vec_id); vectors of different length are never linked; repeated rows are vectors of
-their own and linked with each other; an empty table gives an empty result; only vec_id, embedding and label are read.
+their own and linked with each other; rows that share a vec_id have their own n_links and one component, that of all their vectors, and the result has as
+many rows as the input; an empty table gives an empty result; only vec_id, embedding and label are read.
 """
 
 from __future__ import annotations
 
+import itertools
 import logging
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkkv.llm.common import bucket_of, map_arrow, prefix_sums, root_buckets, saved, table
-from sparkkv.llm.graph import components
+from sparkkv.llm.graph import components, empty_rows, repeated_ids, same_id_links, smallest_ids
 
 THRESHOLD = 0.93
 LIST, LONGEST = 8, 64
@@ -53,28 +59,38 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, key, vec) of the vectors that can be linked; key holds label and length."""
-    x = F.col("embedding").cast("array<double>")
+    """(id, key, vec) of every row; key holds label and length, and is null, like vec, where the vector can't be linked."""
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(v == 0, 0.0).otherwise(v))  # one zero
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     size = F.aggregate(x, F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
-    rows = embeddings.where(F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).where((F.size("embedding") > 0) & ~bad).where(size > 0)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string")).alias("key"), x.alias("vec"))
+    good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad & (size > 0)
+    key = F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string"))
+    return embeddings.select(F.col("vec_id").cast("long").alias("id"), F.when(good, key).alias("key"), F.when(good, x).alias("vec"))
+
+
+def node_id(seed: int) -> Column:
+    """A node's id, from label and vector."""
+    return F.xxhash64(F.lit(seed), "key", "vec")
 
 
-def nodes_of(rows: DataFrame) -> DataFrame:
-    """(node, key, copies, vec): equal vectors once, normalised (little-endian doubles)."""
+def nodes_of(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(node, key, copies, first, vec): equal vectors of ``rows`` once, normalised (little-endian doubles); the seed under which every id is its own."""
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for v in batch.column(3):
+            for v in batch.column(4):
                 x = np.asarray(v.values, np.float64)
                 x = x / np.abs(x).max()
                 out.append((x / np.linalg.norm(x)).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["node", "key", "copies", "vec"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["node", "key", "copies", "first", "vec"])
 
-    grouped = rows.groupBy("key", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).select("node", "key", "copies", "vec")
-    return map_arrow(grouped, unit, "node long, key string, copies long, vec binary")
+    grouped = rows.where("key IS NOT NULL").groupBy("key", "vec").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    for seed in itertools.count():
+        numbered = grouped.select(node_id(seed).alias("node"), "key", "copies", "first", "vec")
+        nodes = saved(map_arrow(numbered, unit, "node long, key string, copies long, first long, vec binary"), "nodes")
+        if not nodes.groupBy("node").count().where("count > 1").limit(1).count():
+            return nodes, seed
 
 
 def _best(sims: np.ndarray, ids: np.ndarray, most: int, floor: float, out: list) -> None:
@@ -316,9 +332,10 @@ def link_counts(members: DataFrame, threshold: float, size: int = BLOCK) -> Data
     rows, blocks = blocks_of(members, size)
     counts = map_arrow(blocks.select("ids", "copies", "mat"), own, "node long, n long")
     if blocks.where("block > 0").limit(1).count():
-        several = blocks.join(blocks.where("block > 0").select("root").distinct(), "root", "left_semi")
-        a, b = several.select("root", F.col("block").alias("i"), "centre", "radius"), several.select(F.col("root").alias("r"), F.col("block").alias("j"), F.col("centre").alias("d"), F.col("radius").alias("s"))
-        said = a.join(b, (F.col("root") == F.col("r")) & (F.col("i") < F.col("j"))).select("root", "i", "j", "centre", "d", "radius", "s")
+        last = blocks.groupBy("root").agg(F.max("block").alias("last")).where("last > 0")
+        a = blocks.join(last, "root").where("block < last").select("root", F.col("block").alias("i"), "centre", "radius", F.explode(F.expr("sequence(block + 1, last)")).alias("j"))
+        b = blocks.select("root", F.col("block").alias("j"), F.col("centre").alias("d"), F.col("radius").alias("s"))
+        said = a.join(b, ["root", "j"]).select("root", "i", "j", "centre", "d", "radius", "s")
         said = saved(verdicts(said, threshold, "root long, i long, j long"), "verdicts")
         content = blocks.select("root", "block", "ids", "copies", "mat", "total")
         one = content.select("root", F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("copies").alias("ca"), F.col("mat").alias("ma"))
@@ -343,19 +360,24 @@ def bridges(members: DataFrame, keys: DataFrame, threshold: float, size: int = B
                     yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64())], ["a", "b"])
 
     _, blocks = blocks_of(members, size)
-    blocks = saved(blocks.join(keys, "root").withColumn("id", F.monotonically_increasing_id()), "bridge-blocks")
-    one = blocks.select("key", F.col("root").alias("a"), F.col("id").alias("i"), "centre", "radius")
-    two = blocks.select("key", F.col("root").alias("b"), F.col("id").alias("j"), F.col("centre").alias("d"), F.col("radius").alias("s"))
-    # The verdict's keys are the two blocks' ids; a third one isn't needed.
-    pairs = one.join(two, "key").where("a < b").select(F.lit(0).cast("long").alias("x"), "i", "j", "centre", "d", "radius", "s")
-    said = verdicts(pairs, threshold, "x long, i long, j long").where("says >= 0")
-    roots = blocks.select("id", "root")
-    said = said.join(roots.select(F.col("id").alias("i"), F.col("root").alias("a")), "i").join(roots.select(F.col("id").alias("j"), F.col("root").alias("b")), "j")
-    said = saved(said.select("a", "b", "i", "j", "says"), "bridge-verdicts")
+    blocks = saved(blocks.join(keys, "root"), "bridge-blocks")
+    # Blocks are numbered by key, in the order of their roots; roots are hashes, so their leading bits cut a key evenly.
+    bits = root_buckets(blocks.count()).bit_length()
+    slim = blocks.select("key", "root", "block", F.lit(1).cast("long").alias("one"), F.shiftright("root", 64 - bits).alias("part"))
+    numbers = prefix_sums(slim, ["key"], "part", ["root", "block"], {"number": "one"}).select("root", "block", "number")
+    blocks = saved(blocks.join(numbers, ["root", "block"]), "numbered-blocks")
+    last = blocks.groupBy("key").agg(F.max("number").alias("last"))
+    one = blocks.join(last, "key").where("number < last").select("key", F.col("root").alias("a"), F.col("number").alias("i"), "centre", "radius", F.explode(F.expr("sequence(number + 1, last)")).alias("j"))
+    two = blocks.select("key", F.col("root").alias("b"), F.col("number").alias("j"), F.col("centre").alias("d"), F.col("radius").alias("s"))
+    pairs = one.join(two, ["key", "j"]).where("a != b").select("key", "i", "j", "centre", "d", "radius", "s")
+    said = verdicts(pairs, threshold, "key string, i long, j long").where("says >= 0")
+    roots = blocks.select("key", "number", "root")
+    said = said.join(roots.select("key", F.col("number").alias("i"), F.col("root").alias("a")), ["key", "i"]).join(roots.select("key", F.col("number").alias("j"), F.col("root").alias("b")), ["key", "j"])
+    said = saved(said.select("key", "a", "b", "i", "j", "says"), "bridge-verdicts")
     sure = said.where("says = 1").select("a", "b").distinct()
-    content = blocks.select("id", "mat", (F.octet_length("centre") / 8).cast("int").alias("width"))
-    left, right = content.select(F.col("id").alias("i"), F.col("mat").alias("ma"), "width"), content.select(F.col("id").alias("j"), F.col("mat").alias("mb"))
-    open_ = said.where("says = 0").join(sure, ["a", "b"], "left_anti").join(left, "i").join(right, "j")
+    content = blocks.select("key", "number", "mat", (F.octet_length("centre") / 8).cast("int").alias("width"))
+    left, right = content.select("key", F.col("number").alias("i"), F.col("mat").alias("ma"), "width"), content.select("key", F.col("number").alias("j"), F.col("mat").alias("mb"))
+    open_ = said.where("says = 0").join(sure, ["a", "b"], "left_anti").join(left, ["key", "i"]).join(right, ["key", "j"])
     return sure.union(map_arrow(open_.select("a", "ma", "b", "mb", "width"), cross, "a long, b long")).distinct()
 
 
@@ -381,7 +403,7 @@ def joined(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings``."""
     rows = saved(vectors(embeddings), "vectors")
-    nodes = saved(nodes_of(rows), "nodes")
+    nodes, seed = nodes_of(rows)
     sizes = nodes.groupBy("key").count().agg(F.sum("count"), F.max("count")).first()
     total, largest = (sizes[0] or 0), (sizes[1] or 0)
     floor = 2 * threshold * threshold - 1
@@ -408,20 +430,20 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     missed = asked.where("root != own").select("a", F.col("root").alias("b")).distinct()
     if missed.limit(1).count():
         roots = joined(links.union(missed), nodes, threshold)
+    named = rows.select("id", F.when(F.col("key").isNotNull(), node_id(seed)).alias("node"))
+    repeated = repeated_ids(named)
+    again = repeated.limit(1).count() > 0
+    if again:  # rows that share an id are in one component
+        roots = saved(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(same_id_links(named, repeated))), "components")
     alone = nodes.where("copies > 1").join(roots, nodes["node"] == roots["id"], "left_anti").select("node", (F.col("copies") - 1).alias("n"))
     members = nodes.join(roots, nodes["node"] == roots["id"]).select("root", "node", "copies", "vec")
     counts = link_counts(members, threshold).select("node", (F.col("n") - 1).alias("n")).union(alone)
-    answers = nodes.select("node").join(counts, "node", "left").join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
-    answers = answers.select("node", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    # Equal vectors read the answer of the one that stands for them.
-    several = rows.groupBy("key", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("m")).where("m > 1")
-    twins = rows.join(several, ["key", "vec"]).where("vec_id != node").select("vec_id", "node").distinct()
-    whole = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).join(twins, "vec_id", "left").withColumn("node", F.coalesce("node", "vec_id"))
-    out = whole.join(answers, "node", "left")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
-    )
+    answer = smallest_ids(nodes, roots)
+    found = named.where("node IS NOT NULL").join(answer.join(counts, "node", "left"), "node", "left").select("id", "n", "component_id")
+    rest = named.where("node IS NULL").select("id", F.lit(None).cast("long").alias("n"))
+    rest = empty_rows(rest, repeated, answer) if again else rest.withColumn("component_id", F.lit(None).cast("long"))
+    out = found.union(rest).select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(False)))
 
 
 def op8_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
