@@ -63,9 +63,12 @@ def split_words(texts: pa.Array, separator: str | None = None) -> tuple[np.ndarr
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` (n, ...) over [offsets[i], offsets[i + 1]); 0 where that is empty."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sums of ``values`` (n, ...) over [offsets[i], offsets[i + 1]); 0 where that is empty. Equal ranges have equal sums, whatever stands around them."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype)
+    filled = offsets[1:] > offsets[:-1]
+    if filled.any():
+        out[filled] = np.add.reduceat(values, offsets[:-1][filled], axis=0)
+    return out
 
 
 class Memory:

@@ -126,6 +126,19 @@ def talk(c, *said):
     return [(c, i, "user" if i % 2 == 0 else "assistant", s) for i, s in enumerate(said)]
 
 
+def test_turns_that_tie(spark):
+    """Thousands of turns with one number, as in a conversation of null turns, are numbered by hash, in several windows."""
+    n = 5 * chat.SPAN
+    rows = [(7, None, "user", f"said {i}") for i in range(n)] + [(8, 5, "user", f"told {i}") for i in range(n)] + [(8, 4, "user", "first"), (8, 6, "user", "last"), (8, 6, None, None), (9, 1, "user", "x")]
+    got = defaultdict(list)
+    for r in chat.numbered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        got[r["conv_id"]].append((r["pos"], r["turn"] if r["turn"] is not None else -1, r["print"]))
+    for turns in got.values():
+        assert [p for p, _, _ in sorted(turns)] == list(range(1, len(turns) + 1))
+        assert [x[1:] for x in sorted(turns)] == sorted(x[1:] for x in turns)
+    assert {k: len(v) for k, v in got.items()} == {7: n, 8: n + 3, 9: 1}
+
+
 def test_prefixes_collapse(spark):
     rows = talk(1, "a", "b") + talk(2, "a", "b", "c") + talk(3, "a", "x") + talk(4, "a", "b", "c") + talk(5, "a") + talk(6, "b", "a")
     kept, out = collapsed(spark, rows)
@@ -165,6 +178,20 @@ def test_chat_brute_force(spark, sf):
 # Sharding ------------------------------------------------------------------------------------------------------------------------
 
 
+def test_repeated_rows_are_numbered(spark):
+    """Equal rows are ranked as one row with copies; each copy has a place of its own."""
+    rows = [(1, "same", None, "a")] * 500 + [(None, None, None, None)] * 300 + [(i, f"t{i}", None, "b") for i in range(100)]
+    got = sharding.interleave(docs_of(spark, rows), shards=7).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    for part in by.values():
+        assert sorted(r["slot"] for r in part) == list(range(len(part)))
+        assert all(abs(n - k * len(part) / 900) <= 2 for k, n in ((500, sum(r["source"] == "a" for r in part)), (300, sum(r["source"] is None for r in part))))
+
+
 def test_shards(spark):
     docs = clashing(corpus(spark, {"a": 500, "b": 90, "c": 30, None: 3}))
     rows = sharding.interleave(docs, shards=7).collect()
