@@ -11,11 +11,12 @@ then get their rank among those of their length (``common.prefix_sums``: no task
 offset off the plan, a table bounded by the capacity. Only slim rows are shuffled, never ids or texts.
 
 Defined results: a null or empty text is one piece with the single id 0; equal rows are separate pieces; the text of a special
-token is ordinary text; an empty table gives an empty result; only doc_id and text are read.
+token is that token, as in the tokenizer's plain call; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ VOCABULARY = "byte_bpe_50k"
 
 
 class Encoder:
-    """ids (uint32) of texts under the public byte-level BPE of ``tokenizers``.
+    """ids (uint32) of texts under the public byte-level BPE of ``tokenizers``, as its plain call gives them: added tokens in a text are single ids.
 
     tiktoken reads the same vocabulary as ranks and gives the same ids (tests hold them against each other) about four times as fast; what
     it can't take goes to ``tokenizers``.
@@ -40,6 +41,7 @@ class Encoder:
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -47,11 +49,18 @@ class Encoder:
         self.slow, self.path = None, public_tokenizers.path(f"{vocabulary}.json")
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(self.path, encoding="utf-8") as f:
+            tokens = json.load(f)["added_tokens"]
+        added = {t["content"]: t["id"] for t in tokens}
+        #: Tokens that also take the white space around them, or stand as words only, are left to ``tokenizers``.
+        self.odd = [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+        self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def ids(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.odd):
+            return self.exact(text)
         try:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
         except BaseException as e:  # a panic of its pattern engine on extreme runs isn't an Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
@@ -62,10 +71,15 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@functools.cache
+def encoder_of(vocabulary: str) -> Encoder:
+    """One encoder for a process, whatever the number of its tasks."""
+    return Encoder(vocabulary)
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids; only the first may be shorter than the capacity where it is cut."""
     first = n % capacity or min(n, capacity)
@@ -77,7 +91,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool =
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([END], np.uint32)
+        encoder, end = encoder_of(vocabulary), np.array([END], np.uint32)
         for batch in batches:
             rows, held, size = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
