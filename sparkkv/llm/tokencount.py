@@ -1,7 +1,8 @@
 """Operator 4, token counts: count-only Viterbi over a unigram vocabulary.
 
 An Aho-Corasick automaton enumerates the vocabulary's pieces in a word, and a dynamic programme carries the best score and its
-piece count only: no lattice, no back pointers, no pieces. The tie rules are the exact tokenizer's: positions are
+piece count only: no lattice, no back pointers, no pieces. Only the last positions that a piece can start from are held, so a word of any length
+takes the same memory. The tie rules are the exact tokenizer's: positions are
 visited from left to right, pieces from short to long, and a later path replaces one only if its score is greater, so of equal paths
 the one whose last piece starts first wins; a character that is no piece of its own takes the unknown score (10 below the
 smallest). With byte fallback such a character counts as its UTF-8 bytes.
@@ -18,6 +19,7 @@ result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,7 @@ class Viterbi:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        self.room = 1 + max(map(len, pieces), default=1)
         for piece, score in zip(pieces, scores, strict=True):
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
@@ -48,26 +51,32 @@ class Viterbi:
         self.whole_line = any("\n" in p for p in pieces)
 
     def count(self, word: str) -> tuple[int, float]:
-        n = len(word)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for end, (size, score) in self.automaton.iter(word) if len(self.automaton) else ():
-            ends[end + 1].append((size, score))
-        best, pieces, fused = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for j in range(1, n + 1):
+        room = self.room
+        # Position j has slot j % room; a piece is shorter than that.
+        best, pieces, fused = [0.0] * room, [0] * room, [False] * room
+        matches = self.automaton.iter(word) if len(self.automaton) else iter(())
+        end, match = next(matches, (-1, None))
+        here, before = 0, 0
+        for j in range(len(word)):
+            here = (j + 1) % room
             found, alone = None, False
-            # The longest piece starts first, and paths from earlier starts are tried first.
-            for size, score in sorted(ends[j], reverse=True) if len(ends[j]) > 1 else ends[j]:
+            # At a place the automaton gives long pieces first: the longest starts first, and paths from earlier starts are tried first.
+            while end == j:
+                size, score = match
                 alone |= size == 1
-                s = best[j - size] + score
+                at = here - size
+                s = best[at] + score
                 if found is None or s > found:
-                    found, pieces[j], fused[j] = s, pieces[j - size] + 1, False
-            if not alone and (found is None or best[j - 1] + self.unknown > found):
-                found = best[j - 1] + self.unknown
+                    found, many = s, pieces[at] + 1
+                end, match = next(matches, (-1, None))
+            mixed = False
+            if not alone and (found is None or best[before] + self.unknown > found):
+                found, mixed = best[before] + self.unknown, True
                 # Without byte fallback neighbouring unknown characters are one piece.
-                more = len(word[j - 1].encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not fused[j - 1])
-                pieces[j], fused[j] = pieces[j - 1] + more, True
-            best[j] = found
-        return pieces[n], best[n]
+                many = pieces[before] + (len(word[j].encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not fused[before]))
+            best[here], pieces[here], fused[here] = found, many, mixed
+            before = here
+        return pieces[here], best[here]
 
     def many(self, words: list[str]) -> np.ndarray:
         return np.array([self.count(w) for w in words], np.float64).reshape(-1, 2)
@@ -81,12 +90,18 @@ class Viterbi:
         return texts if self.whole_line else pc.replace_substring(texts, "\n", " \n ")
 
 
+@functools.cache
+def viterbi_of(model: str | None, byte_fallback: bool) -> Viterbi:
+    """One automaton for a process, whatever the number of its tasks."""
+    pieces, scores, _ = load_pieces(model)
+    return Viterbi(pieces, scores, byte_fallback)
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, byte_fallback: bool = True) -> DataFrame:
     """(doc_id, n_tokens, score): pieces of the best segmentation of every text, and its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, scores, _ = load_pieces(model)
-        viterbi = Viterbi(pieces, scores, byte_fallback)
+        viterbi = viterbi_of(model, byte_fallback)
         memory = Memory(viterbi.many, 2)
         for batch in batches:
             for start, texts in slices(batch.column(1)):
