@@ -18,6 +18,7 @@ languages; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,12 @@ UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 
+@functools.cache
+def index_of(vocabulary: str | None) -> "PieceIndex":
+    """One index for a process, whatever the number of its tasks."""
+    return PieceIndex(load_pieces(vocabulary)[0])
+
+
 class PieceIndex:
     """Look-up of many substrings at once, by a rolling hash of their characters."""
 
@@ -281,7 +288,7 @@ def fit(docs: DataFrame, model: str | None = None, per_language: int = PER_LANGU
         sent = spark.sparkContext.broadcast(tabled(probabilities))  # languages x vocabulary
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, total, held, size = PieceIndex(load_pieces(model)[0]), 0.0, [], 0
+            index, total, held, size = index_of(model), 0.0, [], 0
 
             def add() -> np.ndarray:
                 times = np.stack([np.concatenate([np.asarray(b.column(c), np.float64) for b in held]) for c in range(1, held[0].num_columns)], axis=1)
@@ -317,7 +324,7 @@ def predict(docs: DataFrame, fitted: Model | None, text_col: str = "text", vocab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        index = PieceIndex(load_pieces(vocabulary)[0])
+        index = index_of(vocabulary)
         memory = Memory(lambda words: word_logs([MARK + w for w in words], index, m.table), len(m.languages))
         for batch in batches:
             for start, texts in slices(batch.column(place)):
