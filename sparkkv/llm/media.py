@@ -1,6 +1,6 @@
 """Operator 9, media columns: Netpbm and BMP decoded to numpy arrays, resized, and written as NPY tiles.
 
-``decode_image`` reads PBM, PGM and PPM (plain and raw, 8 bits a sample) and uncompressed BMP (8, 24 and 32 bits a pixel);
+``decode_image`` reads PBM, PGM and PPM (plain and raw, 8 bits a sample, scaled to 255 where the file's white is less) and uncompressed BMP (8, 24 and 32 bits a pixel);
 ``area_resize`` averages exact areas by an integral image that is evaluated at the cells' edges only, so it
 takes little memory beside the image; ``npy_tiles`` cuts an array into tiles and writes each as an NPY file;
 ``difference_hash`` compares neighbours of a 9 x 8 reduction. ``media_tiles`` applies them to a binary column in Arrow
@@ -48,7 +48,10 @@ def _netpbm(data: bytes) -> np.ndarray:
     if not 0 < most < 256 or not width or not height:
         raise ValueError("header")
     if kind in (2, 3):
-        flat = np.array(data[at:].split(), dtype=np.uint8)
+        flat = np.array(data[at:].split()[: width * height * planes], dtype=np.int64)
+        if (flat < 0).any() or (flat > most).any():
+            raise ValueError("sample")
+        flat = flat.astype(np.uint8)
     elif kind == 1:
         flat = 1 - np.frombuffer(re.sub(rb"[^01]", b"", data[at:]), np.uint8) + 48
     elif kind == 4:
@@ -56,8 +59,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         flat = 1 - np.unpackbits(rows, axis=1)[:, :width].reshape(-1)
     else:
         flat = np.frombuffer(data, np.uint8, width * height * planes, at + 1)
-    if kind in (1, 4):
-        flat = flat * np.uint8(255)
+    if most != 255:  # white is 255
+        flat = ((np.minimum(flat, most).astype(np.uint16) * 510 + most) // (2 * most)).astype(np.uint8)
     return flat[: width * height * planes].reshape(height, width, planes) if planes == 3 else flat[: width * height].reshape(height, width)
 
 
