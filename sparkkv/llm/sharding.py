@@ -5,6 +5,7 @@ Rows are shuffled by a seeded hash and ranked within their source; a row's fract
 few rows don't all land in the middle. Sorting by fractional rank interleaves the sources in proportion, and equal
 cuts of that order give shards that each match the mixture. Law ``rows``: counts differ by at most one.
 
+Equal rows are one row with a number of copies until they have their ranks, so that they don't meet in one bucket.
 Both rankings are distributed (``common.prefix_sums``): no task holds a source or the whole order. Fractional ranks
 are uniform whatever the sources' sizes, so the second ranking's buckets are even.
 
@@ -42,19 +43,19 @@ def interleave(
         {
             "stratum": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")),
             "mix": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text_crc32").cast("string"))),
-            "one": F.lit(1).cast("long"),
         }
     )
     # One scan of the texts; what follows reads this slim table only.
-    rows = saved(rows, "shard-rows")
-    total = rows.count()
-    buckets = root_buckets(total)
+    rows = saved(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "shard-rows")
+    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    buckets = root_buckets(n_rows)
     order = ["mix", "doc_id", "size", "text_crc32"]
-    ranked = prefix_sums(rows.withColumn("part", bucket_of(F.col("mix"), buckets)), ["stratum"], "part", order, {"rank": "one"})
-    per_stratum = rows.groupBy("stratum").agg(F.count("*").alias("stratum_rows"))
+    ranked = prefix_sums(rows.withColumn("part", bucket_of(F.col("mix"), buckets)), ["stratum"], "part", order, {"rank": "copies"})
+    per_stratum = rows.groupBy("stratum").agg(F.sum("copies").alias("stratum_rows"))
     phase = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/phase:"), F.col("stratum"))), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
-    placed = ranked.drop("part").join(per_stratum, "stratum").withColumn("fraction", (F.col("rank") + phase) / F.col("stratum_rows"))
-    placed = placed.withColumns({"all": F.lit(0), "part": F.floor(F.col("fraction") * buckets)})
+    ranked = ranked.withColumn("rank", F.explode(F.expr("sequence(rank, rank + copies - 1)"))).drop("part", "copies")
+    placed = ranked.join(per_stratum, "stratum").withColumn("fraction", (F.col("rank") + phase) / F.col("stratum_rows"))
+    placed = placed.withColumns({"all": F.lit(0), "one": F.lit(1).cast("long"), "part": F.floor(F.col("fraction") * root_buckets(total))})
     placed = prefix_sums(placed, ["all"], "part", ["fraction", "stratum", *order], {"place": "one"})
     shard = F.expr(f"place * {shards} div {max(1, total)}")
     placed = placed.withColumn("shard", shard.cast("int")).withColumn("first", F.expr(f"(shard * {total}L + {shards - 1}) div {shards}"))
