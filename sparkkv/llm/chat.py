@@ -39,8 +39,14 @@ def numbered(chats: DataFrame) -> DataFrame:
     """(key, conv_id, turn, print, pos): the distinct turns with their position from 1."""
     slim = chats.select(_key(F.col("conv_id")).alias("key"), "conv_id", "turn", turn_print(F.col("role"), F.col("text")).alias("print")).distinct()
     at = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62)))
-    slim = slim.withColumns({"at": at, "span": F.floor(at / F.lit(SPAN)), "one": F.lit(1).cast("long")})
-    out = prefix_sums(slim, ["key"], "span", ["at", "print"], {"earlier": "one"})
+    slim = saved(slim.withColumns({"at": at, "span": F.floor(at / F.lit(SPAN)), "one": F.lit(1).cast("long")}), "chat-slim")
+    # Where many turns of a conversation have one number, as when all are null, spans are cut by number and then by hash.
+    tied = slim.groupBy("key", "span", "at").count().groupBy("key", "span").agg(F.max("count").alias("most")).where(F.col("most") > 4 * SPAN)
+    slim = slim.join(tied, ["key", "span"], "left")
+    lead = F.conv(F.substring("print", 1, 7), 16, 10).cast("long")
+    part = F.expr(f"shiftright(_lead, CAST(28 - least(28, ceil(log2(most / {SPAN}))) AS INT))")
+    slim = slim.withColumn("_lead", lead).withColumn("bucket", F.struct("span", *[F.when(F.col("most").isNotNull(), x).otherwise(0).alias(c) for c, x in (("at", F.col("at")), ("part", part))]))
+    out = prefix_sums(slim, ["key"], "bucket", ["at", "print"], {"earlier": "one"})
     return out.select("key", "conv_id", "turn", "print", (F.col("earlier") + 1).alias("pos"))
 
 
