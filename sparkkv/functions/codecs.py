@@ -44,6 +44,16 @@ def gbk_text(b: pd.Series) -> pd.Series:
     return b.map(one, na_action="ignore")
 
 
+def utf16_to_gbk(b: Column) -> Column:
+    """GBK of UTF-16 (big-endian) bytes; null if they hold a character that GBK lacks."""
+    return gbk_bytes(utf16_text(b))
+
+
+def gbk_to_utf16(b: Column) -> Column:
+    """UTF-16 (big-endian) of GBK bytes; null if they aren't GBK."""
+    return utf16_bytes(gbk_text(b))
+
+
 @F.pandas_udf(T.LongType())
 def crc32_from(seed: pd.Series, b: pd.Series) -> pd.Series:
     """CRC-32 of ``b`` carried on from ``seed``; with seed 0 use Spark's ``crc32``."""

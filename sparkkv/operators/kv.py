@@ -28,8 +28,10 @@ def listing(kv: DataFrame, key: str, low, high, count: int, descending: bool = F
 
 
 def add(kv: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Insert the rows of ``new`` whose key isn't stored."""
-    return kv.unionByName(new.join(kv.select(key), key, "left_anti").select(*kv.columns))
+    """Insert the rows of ``new`` whose key isn't stored; of rows that repeat a key, one whole row is stored (the smallest)."""
+    rest = [c for c in kv.columns if c != key]
+    once = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else new.select(key).distinct()
+    return kv.unionByName(once.join(kv.select(key), key, "left_anti").select(*kv.columns))
 
 
 def put(log: DataFrame, key: str, order: str, value: list[str]) -> DataFrame:
@@ -57,7 +59,7 @@ def remove(kv: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def fold(log: DataFrame, span: int | None = None) -> DataFrame:
     """Current state of a log (sid, k, op, v[, ts]): last set or del by sid, plus the increments after it.
 
-    Deleted keys are left out, as are keys that were only counted. Hits are counted over the whole log.
+    Deleted keys are left out, as are keys that were only counted. Setting a key to null deletes it. Hits are counted over the whole log.
     The window and the aggregate share one exchange by key. If a few keys hold most of the log, give a ``span``: records are folded by
     (key, sid div span) first, and a second exchange brings a row for each key and span, so no task holds a hot key's records.
     """

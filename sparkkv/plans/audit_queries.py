@@ -191,10 +191,14 @@ def policy_resolve(spark, d):
     return routing.resolved(asked, messages, services, {"timeout_ms": 200, "retries": 2}).select("event_id", "timeout_ms", "retries")
 
 
-@query("SELECT n_nationkey AS host_no, n_name AS host, (n_nationkey - 7 + 25) % 25 AS attempt FROM nation")
+@query("""WITH h AS (SELECT n_nationkey AS host_no, n_name AS host, CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey * 100 END::BIGINT AS invalid_ms, (n_nationkey - 7 + 25) % 25 AS place FROM nation),
+u AS (SELECT *, invalid_ms IS NULL OR 2500 - invalid_ms > 900 AS ok FROM h)
+SELECT host_no, host, invalid_ms, CASE WHEN ok THEN count(*) FILTER (ok) OVER (ORDER BY place) - 1 END::INT AS attempt FROM u""")
 def route_failover(spark, d):
-    hosts = table(spark, d, "nation").select(F.col("n_nationkey").alias("host_no"), F.col("n_name").alias("host"))
-    return routing.failover(hosts, F.lit(7), 25)
+    """Every fourth host has failed at some time; those that failed within 900 ms are passed over."""
+    failed = F.when(F.col("n_nationkey") % 4 == 0, (F.col("n_nationkey") * 100).cast("long"))
+    hosts = table(spark, d, "nation").select(F.col("n_nationkey").alias("host_no"), F.col("n_name").alias("host"), failed.alias("invalid_ms"))
+    return routing.failover(hosts, F.lit(7), 25, now=2500, restore_ms=900)
 
 
 @query("SELECT event_id, CASE WHEN value::INT * 4 - 100 < 0 THEN 400 WHEN value::INT * 4 - 100 >= 400 THEN value::INT * 4 - 100 ELSE 200 END AS status FROM (SELECT event_id, floor(value) AS value FROM events)")
@@ -203,12 +207,12 @@ def response_code(spark, d):
     return table(spark, d, "events").select("event_id", routing.response(code).alias("status"))
 
 
-@query("""SELECT a.event_id AS request, b.event_id AS reply FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id = a.event_id + 1""")
+@query("""WITH e AS (SELECT event_id, user_id, list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type) AS kind FROM events)
+SELECT a.event_id AS request, min(b.event_id) AS reply FROM e a JOIN e b ON a.user_id = b.user_id AND b.kind = a.kind + 1 AND b.event_id > a.event_id GROUP BY 1""")
 def reply_match(spark, d):
-    """Replies: the same key's message with the following number."""
-    e = table(spark, d, "events").select("event_id", "user_id")
-    reply = e.select(F.col("event_id").alias("reply"), "user_id", (F.col("event_id") - 1).alias("request"))
-    return e.withColumnRenamed("event_id", "request").join(reply, ["user_id", "request"]).select("request", "reply")
+    """Replies: the same key's next message whose type is the request's type plus one."""
+    kind = F.array_position(F.array(*map(F.lit, ["view", "click", "signup", "purchase", "error"])), F.col("event_type"))
+    return routing.replies(table(spark, d, "events").select("event_id", "user_id", kind.cast("int").alias("kind")), "user_id", "event_id", "kind")
 
 
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS hosts FROM nation GROUP BY 1")

@@ -103,10 +103,14 @@ def formatted(spark, d):
 
 @query("""SELECT c_custkey, regexp_full_match(c_mktsegment, '[A-Za-z]+') AS alpha, regexp_full_match(c_mktsegment, '[A-Z]+') AS upper, regexp_full_match(c_mktsegment, '[a-z]+') AS lower,
 regexp_full_match(c_name, '[A-Za-z0-9]+') AS alnum, regexp_full_match(c_custkey::VARCHAR, '[0-9]+') AS digit, regexp_full_match(c_custkey::VARCHAR, '[0-9A-Fa-f]+') AS xdigit,
-regexp_full_match(c_name, '[!-~]+') AS graph, regexp_full_match(c_name, '[ -~]+') AS print, regexp_full_match(c_name, '[\\x00-\\x7F]+') AS ascii FROM customer""")
+regexp_full_match(c_name, '[!-~]+') AS graph, regexp_full_match(c_name, '[ -~]+') AS print, regexp_full_match(c_name, '[\\x00-\\x7F]+') AS ascii,
+c_custkey % 4 < 2 AS blank, c_custkey % 4 < 3 AS space, c_custkey % 4 = 1 OR c_custkey % 4 = 2 AS cntrl, c_custkey % 4 = 3 AS punct FROM customer""")
 def char_classes(spark, d):
     seg, name, key = F.col("c_mktsegment"), F.col("c_name"), F.col("c_custkey").cast("string")
     of = {"alpha": seg, "upper": seg, "lower": seg, "alnum": name, "digit": key, "xdigit": key, "graph": name, "print": name, "ascii": name}
+    # Two blanks; a tab; a tab and a line break; signs.
+    white = F.element_at(F.array(*map(F.lit, ["  ", "\t", "\t\n", "#!"])), (F.col("c_custkey") % 4 + 1).cast("int"))
+    of |= {c: white for c in ("blank", "space", "cntrl", "punct")}
     return table(spark, d, "customer").select("c_custkey", *[text.of_class(x, c).alias(c) for c, x in of.items()])
 
 
@@ -139,11 +143,17 @@ def utf16_roundtrip(spark, d):
     return _docs(spark, d).select("doc_id", F.octet_length(b).alias("bytes"), (codecs.utf16_text(b) == F.col("text")).alias("same"))
 
 
-@query()
+#: Letters outside ASCII that the fixture's languages share with GBK (fixed values); GBK has two bytes for each.
+_GBK_LETTERS = "àáèéêìíòóùúü"
+
+
+@query(f"""WITH g AS (SELECT doc_id, text, NOT regexp_matches(text, '[^\x00-\x7F{_GBK_LETTERS}]') AS ok FROM documents)
+SELECT doc_id, CASE WHEN ok THEN length(text) + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) END::INT AS bytes, CASE WHEN ok THEN md5(text) END AS back,
+CASE WHEN ok THEN 2 * length(text) END::INT AS utf16_bytes FROM g""")
 def gbk_roundtrip(spark, d):
-    """Texts with letters that GBK lacks give null."""
-    b = _docs(spark, d).withColumn("gbk", codecs.gbk_bytes("text"))
-    return b.select("doc_id", F.octet_length("gbk").alias("bytes"), (codecs.gbk_text("gbk") == F.col("text")).alias("same"))
+    """GBK and back, and UTF-16 to GBK and back; texts with letters that GBK lacks give null."""
+    b = _docs(spark, d).withColumn("gbk", codecs.utf16_to_gbk(codecs.utf16_bytes(F.col("text"))))
+    return b.select("doc_id", F.octet_length("gbk").alias("bytes"), F.md5(codecs.gbk_text("gbk").cast("binary")).alias("back"), F.octet_length(codecs.gbk_to_utf16(F.col("gbk"))).alias("utf16_bytes"))
 
 
 @query("SELECT page_id, list_extract(string_split(rtrim(url, '/'), '/'), -1) AS last FROM pages")
@@ -177,14 +187,23 @@ def filter_level(spark, d):
     return _docs(spark, d).select("doc_id", textmatch.level(x, TERMS).cast("int").alias("level"), textmatch.level(F.lower(x), TERMS).cast("int").alias("level_nocase"))
 
 
-@query(f"SELECT doc_id, nullif({_HIT.format(t='text')}, 0)::INT AS level FROM documents")
+def _places(text: str, between: str) -> str:
+    """SQL for each document's match: the highest level, then leftmost, then shortest; ``between`` may stand between its characters."""
+    terms = ", ".join(f"('{between.join(w)}', {1 << (n.bit_length() - 1)})" for w, n in TERMS)
+    return f"""WITH h AS (SELECT doc_id, level, t, regexp_extract({text}, w) AS hit FROM (SELECT doc_id, {text} AS t, text FROM documents), (VALUES {terms}) v(w, level)),
+p AS (SELECT doc_id, level, strpos(t, hit) - 1 AS start, length(hit) AS length FROM h WHERE hit <> ''),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC, start, length) = 1)
+SELECT d.doc_id, b.level::INT AS level, b.start::INT AS start, b.length::INT AS length FROM documents d LEFT JOIN b USING (doc_id)"""
+
+
+@query(_places("text", ""))
 def filter_match(spark, d):
-    """The match itself (level, place, length), by one pattern for each level."""
+    """The match itself (level, place, length)."""
     m = textmatch.matcher(textmatch.dictionary(spark.createDataFrame(TERMS, "term string, level int")))
-    return _docs(spark, d).withColumn("m", m("text")).select("doc_id", "m.level")
+    return _docs(spark, d).withColumn("m", m("text")).select("doc_id", "m.level", "m.start", "m.length")
 
 
-@query()
+@query(_places("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "[- ]*"))
 def filter_match_stop_words(spark, d):
     m = textmatch.matcher(textmatch.dictionary(spark.createDataFrame(TERMS, "term string, level int")), stop_words=["-", " "], case=False)
     return _docs(spark, d).withColumn("m", m("text")).select("doc_id", "m.level", "m.start", "m.length")

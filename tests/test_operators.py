@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkkv.functions import codecs, dates, net, text
 from sparkkv.operators import kv, log, package, routing, textmatch, ttl
 from sparkkv.operators.baseline import as_of_join
-from sparkkv.sources import files
+from sparkkv.sources import files, shared
 
 LOG = "sid long, ts timestamp_ntz, k long, op string, v double"
 T0 = dt.datetime(2024, 1, 1)
@@ -189,7 +189,37 @@ def test_matcher(spark):
     m = textmatch.matcher(textmatch.dictionary(terms), stop_words=["-"])
     rows = spark.createDataFrame([("so b-a-d",), ("bad, worse",), ("fine",), (None,), ("-badly",)], "t string")
     got = [r["m"] and (r["m"]["level"], r["m"]["start"], r["m"]["length"]) for r in rows.select(m("t").alias("m")).collect()]
-    assert got == [(1, 3, 5), (4, 5, 5), (None, None, None), (None, None, None), (1, 1, 5)]
+    assert got == [(1, 3, 5), (4, 5, 5), (None, None, None), (None, None, None), (1, 1, 3)]  # the first end of a term counts, not the longest
+
+
+def test_matcher_places_and_order(spark):
+    """Places are those of the text as it is; of equal levels the leftmost, then the shortest counts; only A-Z and a-z are one without case."""
+    terms = spark.createDataFrame([("mit", 1), ("mi", 1), ("LICENSE", 2), ("k", 4)], "term string, level int")
+    m = textmatch.matcher(textmatch.dictionary(terms), stop_words=["-", "--x"], case=False)
+    rows = [("ßß mit",), ("licenſe \u212a",), ("a LiCe-n--x-se",), ("",), (None,), ("-m-",)]
+    got = [tuple(r["m"]) for r in spark.createDataFrame(rows, "t string").withColumn("m", m("t")).collect()]
+    assert got == [(1, 3, 2), (None, None, None), (2, 2, 12), (None,) * 3, (None,) * 3, (None,) * 3]
+
+
+def test_replacer_without_case(spark):
+    r = textmatch.replacer(textmatch.replacements(spark.createDataFrame([("LICENSE", "x", 1), ("li", "y", 1)], "src string, repl string, seq int")), case=False)
+    rows = [("a licenſe, License LICENSES li",), (None,), ("",)]
+    assert [x["o"] for x in spark.createDataFrame(rows, "t string").withColumn("o", r("t")).collect()] == ["a ycenſe, x xS y", None, ""]
+
+
+def test_add_stores_a_repeated_new_key_once(spark):
+    store, new = spark.createDataFrame([(1, "a", 1)], "k int, v string, w int"), spark.createDataFrame([(2, "c", 1), (2, "b", 2), (1, "z", 3)], "k int, v string, w int")
+    assert sorted(tuple(r) for r in kv.add(store, new, "k").collect()) == [(1, "a", 1), (2, "b", 2)]
+
+
+def test_replies_wait_for_their_type(spark):
+    rows = [("a", 1, 1), ("a", 2, 1), ("a", 3, 3), ("a", 4, 2), ("a", 5, 3), ("b", 6, 2), (None, 7, 1), (None, 8, 2), ("a", 9, None)]
+    got = routing.replies(spark.createDataFrame(rows, "k string, n long, t int"), "k", "n", "t").collect()
+    assert sorted(map(tuple, got)) == [(1, 4), (2, 4), (4, 5), (7, 8)]
+
+
+def test_shared_folder_of_a_cluster():
+    assert [shared.is_local(m) for m in ("local", "local[4]", "local-cluster[2,1,1024]", "yarn", "spark://h:7077", "k8s://h")] == [True, True, False, False, False, False]
 
 
 def test_replacer_is_leftmost_longest_and_single_pass(spark):
