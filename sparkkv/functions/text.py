@@ -69,7 +69,7 @@ CLASSES = {
 
 def of_class(s: Column, name: str) -> Column:
     """Whether ``s`` isn't empty and all its characters are of the class."""
-    return s.rlike(f"^{CLASSES[name]}+$")
+    return s.rlike(rf"\A{CLASSES[name]}+\z")  # a line break at the end counts
 
 
 def base_name(path: Column) -> Column:
