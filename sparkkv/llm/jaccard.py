@@ -3,8 +3,9 @@
 Texts become sets of hashed word shingles (64 bits; hashes stand for the shingles). Equal sets are one node from then on, whatever their
 doc_ids: a node's id is a hash of the set's digest, checked to be its own. Then:
 
-1. Leaders. Sets that share a MinHash band are compared with the smallest id of their band only (a star, not all pairs). Verified links put
-   most near copies into components at a cost that grows with the rows, not with the squares of the groups.
+1. Leaders. Of the sets that share a MinHash band, one of each component is compared with one of the band's largest component (a star, not all
+   pairs); at first every set is its own component, and ``STARS`` rounds follow one another. Verified links put most near copies into components at a
+   cost that grows with the rows, not with the squares of the groups.
 2. Index. Every set enters a prefix of its shingles, rarest first, into an inverted index: sets with similarity of at least t share a
    shingle in their prefixes, whatever the order. The order comes from a frequency sketch over all documents, so shared passages and
    common phrases go last. Sets of one component have their answers already; a list whose sets are all in one component is
@@ -42,6 +43,8 @@ WORDS = 5
 #: Similarity 3 / 4, in integers.
 UP, DOWN = 3, 4
 BANDS, ROWS = 8, 2
+#: Rounds of stars.
+STARS = 3
 #: Slots of the frequency sketch (2 ** 23 bytes when sent to the workers).
 SKETCH_BITS = 23
 #: Ids up to which a list of ids is broadcast (8 bytes each); longer lists are joined by a shuffle.
@@ -246,11 +249,19 @@ IS_LINK = f"both * {DOWN} >= (na + nb - both) * {UP}"
 DISTANCE = "1 - both / (na + nb - both)"
 
 
-def band_pairs(index: DataFrame) -> DataFrame:
-    """(a, b): each set with the smallest id among those that share a band, if their sizes allow a link."""
-    keys = index.select("node", "n", F.explode("bands").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    rows = keys.join(leaders.select("key", F.col("first.node").alias("a"), F.col("first.n").alias("na")), "key")
+def band_pairs(keys: DataFrame, grouped: DataFrame | None = None, turn: int = 0) -> DataFrame:
+    """(a, b) of ``keys`` (node, n, key): of each band, a set of its largest component (by ``grouped``: id, root) with one of each other, if their sizes allow a link.
+
+    Which sets stand for their components changes with ``turn``. A band has a row for each component in the second aggregate, so a hot one is small there.
+    """
+    if grouped is None:
+        cells = keys.select("key", F.struct(F.lit(-1).cast("long").alias("m"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n").alias("it"))
+    else:
+        own = keys.join(grouped.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("component", F.coalesce("root", "node"))
+        cells = own.groupBy("key", "component").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n")).alias("r"))
+        cells = cells.select("key", F.struct((-F.col("m")).alias("m"), "r.h", "r.node", "r.n").alias("it"))
+    leaders = cells.groupBy("key").agg(F.min("it").alias("first"), F.count("*").alias("cells")).where("cells > 1")
+    rows = cells.select("key", "it.node", "it.n").join(leaders.select("key", F.col("first.node").alias("a"), F.col("first.n").alias("na")), "key")
     return rows.where(f"node != a AND least(n, na) * {DOWN} >= greatest(n, na) * {UP}").select("a", F.col("node").alias("b")).distinct()
 
 
@@ -418,10 +429,21 @@ def near_components(docs: DataFrame) -> DataFrame:
         ids = saved(nodes.distinct().join(groups, "node").select(F.col("first").alias("doc_id")).distinct(), "asked-ids")
         return saved(once(stored_sets(texts, ids, seed)), "sets")
 
-    pairs = saved(band_pairs(index), "band-pairs")
-    sets = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
-    stars = saved(compared(pairs, sets).where(IS_LINK).withColumn("far", F.expr(DISTANCE)), "star-links")
-    grouped = saved(components(stars), "star-components")
+    keys = saved(index.select("node", "n", F.explode("bands").alias("key")), "bands")
+    stars = grouped = sets = None
+    for turn in range(STARS):
+        pairs = saved(band_pairs(keys, grouped, turn), "band-pairs")
+        if stars is None:
+            sets = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+        # Later rounds take the sets that the first one had stored; what they leave out is left to the index.
+        found = saved(compared(pairs, sets).where(IS_LINK).withColumn("far", F.expr(DISTANCE)), "star-links")
+        more = found.limit(1).count() > 0
+        if stars is not None and not more:
+            break
+        stars = found if stars is None else stars.union(found)
+        grouped = saved(components(stars), "star-components")
+        if not more:
+            break
 
     known = grouped.count() <= BROADCAST_IDS
     entries = index.select("node", "n", "prefix").join((F.broadcast if known else (lambda x: x))(grouped.withColumnRenamed("id", "node")), "node", "left")

@@ -144,7 +144,7 @@ def test_set_ids_that_collide_are_made_anew(spark, monkeypatch):
 def test_jaccard_without_leaders(spark, monkeypatch, long):
     """The index alone finds every link, with lists that are compared block by block, in one task or split."""
     monkeypatch.setattr(jaccard, "LONG_LIST", long)
-    monkeypatch.setattr(jaccard, "band_pairs", lambda index: index.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(jaccard, "band_pairs", lambda keys, *a: keys.sparkSession.createDataFrame([], "a long, b long"))
     monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
