@@ -5,33 +5,54 @@ Operators 5 and 8 number distinct contents (nodes) by a hash; rows (id, node) te
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkkv.llm.common import saved
 
+#: Edges for each partition of a round's exchanges.
+EDGE_ROWS = 1 << 14
+
 
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
     return tuple(row)
 
 
+@contextmanager
+def exchanges_for(spark: SparkSession, rows: int):
+    """Plans made and run inside exchange into a partition for each ``EDGE_ROWS`` of ``rows``, at most as many as the session has set.
+
+    The session's setting is put back afterwards; it is the session's, so other threads should have sessions of their own.
+    """
+    name = "spark.sql.shuffle.partitions"
+    most = spark.conf.get(name)
+    spark.conf.set(name, max(1, min(int(most), -(-rows // EDGE_ROWS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, most)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every node of ``links`` (a, b): root is the smallest node that links lead to.
 
-    Every round writes its edges to the shared folder; the driver sees a count and a checksum. A node with many links is
-    pre-aggregated in its minimum, and its join is left to adaptive skew handling. Loops and repeated links are allowed.
+    Every round writes its edges to the shared folder; the driver sees a count and a checksum, and takes the number of partitions of the next round from
+    the count. A node with many links is pre-aggregated in its minimum, and its join is left to adaptive skew handling. Loops and repeated links are allowed.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = saved(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = saved(small, "edges")
+        with exchanges_for(edges.sparkSession, 2 * mark[0]):
+            both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+            edges = saved(small, "edges")
         now = _mark(edges)
         if now == mark:
             break
