@@ -169,9 +169,10 @@ def frequency_classes(parts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         classes = np.round(4 * np.log2(1 + total)).astype(np.uint8)
         return pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([classes.tobytes()], pa.binary())], ["slot", "classes"])
 
-    summed = map_arrow(parts.select("slot", "counts").repartition("slot").sortWithinPartitions("slot"), add, "slot long, classes binary")
     out, block = np.zeros(1 << bits, np.uint8), 1 << 16
-    for row in summed.toLocalIterator():  # 2 ** bits bytes in all
+    # Slots are of a fixed number, so partitions are too.
+    dealt = parts.select("slot", "counts").repartition(max(1, len(out) // block // 4), "slot").sortWithinPartitions("slot")
+    for row in map_arrow(dealt, add, "slot long, classes binary").collect():  # 2 ** bits bytes in all
         out[row["slot"] * block : row["slot"] * block + len(row["classes"])] = np.frombuffer(row["classes"], np.uint8)
     return out
 
