@@ -401,6 +401,12 @@ def sets_of(rows: DataFrame) -> tuple[DataFrame, int]:
             return groups.select("node", "first", "copies"), seed
 
 
+def joined(found: DataFrame, grouped: DataFrame | None) -> DataFrame:
+    """(a, b): the links ``found``, with what is known already as one link from each node to its root, so that later rounds start from stars."""
+    links = found.select("a", "b")
+    return links if grouped is None else links.union(grouped.select(F.col("id").alias("a"), F.col("root").alias("b")))
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     texts = _texts(docs)
@@ -442,7 +448,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         if stars is not None and not more:
             break
         stars = found if stars is None else stars.union(found)
-        grouped = saved(components(stars), "star-components")
+        grouped = saved(components(joined(found, grouped)), "star-components")
         if not more:
             break
 
@@ -459,7 +465,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         found = found.union(split_pairs(saved(entries.where(f"m > {LONG_LIST}").drop("m"), "long-lists")))
     pairs = saved(found.distinct(), "list-pairs")
 
-    links = stars.select("a", "b")
+    links = grouped.select(F.col("id").alias("a"), F.col("root").alias("b"))
     if pairs.limit(1).count():
         # A set's leader is the one that it was verified against first: the smallest; its own for one without.
         leader = stars.select("a", "b", "far").union(stars.select("a", F.col("a").alias("b"), F.lit(0.0)))
